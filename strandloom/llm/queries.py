@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import MARKER_ROW, is_marker, percent_at_least, resolve_names, usable
-from ..runtime import read_table
+from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, is_stand_in, percent_at_least, resolve_names, usable
+from ..runtime import Workspace, read_table
 from .components import hash_to_min
+from .setjoin import expand_pairs, set_classes, similar_sets
+from .survivor import accession, built_records, kept_records
 from .topk import threshold_topk
 from .topn import banded_top_n
 
@@ -100,3 +102,99 @@ SELECT run_id, query_file, ref_file FROM (
   LEFT JOIN command_params p ON h.run_id = p.run_id)
 WHERE max_results IS NULL OR r <= max_results
 """
+
+# 6 -- similar pairs between set-valued records
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of genomes whose distinct markers share at least 0.6 of their union."""
+    members, classes = set_classes(read_table(spark, sf, "genomes"), "record_id", "marker_seeds", is_marker)
+    members = Workspace(spark, "members").save(members)
+    return expand_pairs(similar_sets(classes, "0.6"), members)
+
+
+@query
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without expanding copies: each record, its set's representative and that set's links to other sets."""
+    members, classes = set_classes(read_table(spark, sf, "genomes"), "record_id", "marker_seeds", is_marker)
+    pairs = similar_sets(classes, "0.6")
+    links = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(links, "rep", "left").select(F.col("id").alias("record_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+_SETS_SQL = "sets AS (SELECT record_id, list_distinct(list_filter(marker_seeds, lambda x: x BETWEEN 0 AND 4398046511103)) AS v FROM genomes)"
+ORACLE["p6_found"] = f"""
+WITH {_SETS_SQL}, t AS (SELECT record_id, len(v) AS n, unnest(v) AS m FROM sets)
+SELECT a.record_id AS record_a, b.record_id AS record_b FROM t a JOIN t b ON a.m = b.m AND a.record_id < b.record_id
+GROUP BY a.record_id, b.record_id, a.n, b.n HAVING count(*) * 5 >= (a.n + b.n - count(*)) * 3
+"""
+ORACLE["p6_classes"] = f"""
+WITH {_SETS_SQL}, c AS (SELECT record_id, list_sort(v) AS v, min(record_id) OVER (PARTITION BY list_sort(v)) AS rep FROM sets WHERE len(v) > 0),
+t AS (SELECT DISTINCT rep, len(v) AS n, unnest(v) AS m FROM c),
+p AS (SELECT a.rep AS ra, b.rep AS rb FROM t a JOIN t b ON a.m = b.m AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) * 5 >= (a.n + b.n - count(*)) * 3),
+l AS (SELECT rep, count(*) AS n FROM (SELECT ra AS rep FROM p UNION ALL SELECT rb FROM p) GROUP BY rep)
+SELECT record_id, c.rep AS class_id, coalesce(n, 0) AS n_links FROM c LEFT JOIN l ON c.rep = l.rep
+"""
+
+# 7 -- best representative of each duplicate group
+
+
+def _assemblies(spark: SparkSession, sf: str) -> DataFrame:
+    """Genomes with their accession and the trust of their source."""
+    trust = read_table(spark, sf, "registries").groupBy(F.lower(F.trim("source_db")).alias("__source")).agg(F.max("trust").alias("trust"))
+    rows = read_table(spark, sf, "genomes").select("record_id", "file_name", "contig_order", "contigs", "contig_lengths", "total_len", "n_contigs", "source_db", "sketched_at")
+    return rows.withColumn("accession", accession("file_name", "contigs")).join(trust, F.lower(F.trim("source_db")) == F.col("__source"), "left").drop("__source")
+
+
+def _filled() -> dict[str, Column]:
+    """What counts as really filled in genomes."""
+    return {
+        "file_name": ~is_stand_in("file_name"),
+        "contigs": F.coalesce(F.exists("contigs", lambda h: ~is_stand_in(h)), F.lit(False)),
+        "contig_lengths": F.coalesce(F.exists("contig_lengths", lambda n: n > 0), F.lit(False)),
+        "total_len": F.coalesce(F.col("total_len") > 0, F.lit(False)),
+        "n_contigs": F.coalesce(F.col("n_contigs") > 0, F.lit(False)),
+    }
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of a duplicate group with the record that is kept."""
+    rows = _assemblies(spark, sf)
+    group = ["accession", "contig_order"]
+    kept = kept_records(rows, group, "record_id", list(_filled().values()), F.col("trust"), F.col("sketched_at"))
+    return rows.select(*group, "record_id").join(kept.filter("n_records > 1"), group).select("record_id", "keep_id")
+
+
+@query
+def p7_built(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per assembly and contig order: the kept record and the record built field by field."""
+    rows = Workspace(spark, "survivor").save(_assemblies(spark, sf))
+    group = ["accession", "contig_order"]
+    filled = _filled()
+    norm = {n: (F.lower(bare_name(n)) if n == "file_name" else F.to_json(n) if n in ("contigs", "contig_lengths") else F.col(n)) for n in filled}
+    built = built_records(rows, group, {n: (filled[n], norm[n]) for n in filled}, F.col("trust"), F.col("sketched_at"))
+    kept = kept_records(rows, group, "record_id", list(filled.values()), F.col("trust"), F.col("sketched_at"))
+    return kept.filter("n_records > 1").join(built, group, "left")
+
+
+_ACC = r"(?:^|[^a-z0-9])([a-z]+)[^a-z0-9/]*0*([1-9][0-9]{2,}|0{3,})(?:v|[^a-z0-9/])0*([0-9]+)"
+
+
+def _acc_sql(c: str) -> str:
+    t = f"replace(lower({c}), '%5f', '_')"
+    return f"(CASE WHEN regexp_matches({t}, '{_ACC}') THEN regexp_extract({t}, '{_ACC}', 1) || '_' || regexp_extract({t}, '{_ACC}', 2) || '.' || regexp_extract({t}, '{_ACC}', 3) END)"
+
+
+_STAND_SQL = "('', '-', '--', 'na', 'n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', '?', '.')"
+ORACLE["p7_found"] = rf"""
+WITH g AS (SELECT record_id, contig_order, coalesce({_acc_sql('file_name')}, list_filter(list_transform(contigs, lambda h: {_acc_sql('h')}), lambda x: x IS NOT NULL)[1]) AS acc,
+  (file_name IS NOT NULL AND lower(regexp_replace(file_name, '^\s+|\s+$', '', 'g')) NOT IN {_STAND_SQL})::int + (coalesce(len(contigs), 0) > 0)::int
+  + coalesce(len(list_filter(contig_lengths, lambda n: n > 0)) > 0, false)::int + coalesce(total_len > 0, false)::int + coalesce(n_contigs > 0, false)::int AS filled,
+  coalesce((SELECT max(trust) FROM registries r WHERE lower(trim(r.source_db)) = lower(trim(genomes.source_db))), 0) AS trust, sketched_at FROM genomes)
+SELECT record_id, keep_id FROM (
+  SELECT record_id, first_value(record_id) OVER (PARTITION BY acc, contig_order ORDER BY filled DESC, trust DESC, sketched_at DESC NULLS LAST, record_id) AS keep_id,
+         count(*) OVER (PARTITION BY acc, contig_order) AS n FROM g WHERE acc IS NOT NULL AND contig_order IS NOT NULL)
+WHERE n > 1
+"""
