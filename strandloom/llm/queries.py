@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, is_stand_in, percent_at_least, resolve_names, usable
 from ..runtime import Workspace, read_table
 from .components import hash_to_min
+from .packing import pack
 from .setjoin import expand_pairs, set_classes, similar_sets
 from .survivor import accession, built_records, kept_records
+from .tokens import decode_corpus, encode_corpus
 from .topk import threshold_topk
 from .topn import banded_top_n
 
@@ -198,3 +200,45 @@ SELECT record_id, keep_id FROM (
          count(*) OVER (PARTITION BY acc, contig_order) AS n FROM g WHERE acc IS NOT NULL AND contig_order IS NOT NULL)
 WHERE n > 1
 """
+
+# 8 -- encoding with a public tokenizer
+
+
+@query
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every text by byte_bpe_50k; empty and null texts have the empty list."""
+    return encode_corpus(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Round trip of every text: characters in, tokens, characters out, and whether they are equal."""
+    docs = read_table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = Workspace(spark, "ids").save(encode_corpus(docs, "doc_id", "text"))
+    back = decode_corpus(ids, "doc_id", "ids").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_back"))
+    sides = docs.select("doc_id", F.xxhash64("text").alias("h0"), F.length("text").cast("long").alias("n_text"))
+    return sides.join(back, "doc_id").select("doc_id", "n_text", "n_back", (F.col("h") == F.col("h0")).alias("equal"))
+
+
+ORACLE["p8_decoded"] = "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_text, length(coalesce(text, ''))::BIGINT AS n_back, true AS equal FROM documents"
+
+# 9 -- filling containers
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = encode_corpus(read_table(spark, sf, "documents"), "doc_id", "text", count_only=True)
+    capacities = [r[0] for r in read_table(spark, sf, "containers").select("capacity_tokens").collect()]  # a fixed table
+    return pack(sizes, "doc_id", "n_tokens", capacities)
+
+
+@query
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text, sized in tokens of byte_bpe_50k, placed in containers of each capacity."""
+    return _packed(spark, sf)
+
+
+@query
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of each capacity and the share of their room that is used."""
+    used = _packed(spark, sf).filter("container_id IS NOT NULL").groupBy("capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("segments"))
+    return used.groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("fill"))
