@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, is_stand_in, percent_at_least, resolve_names, usable
 from ..runtime import Workspace, read_table
+from .clusters import density_clusters, majority_groups
 from .components import hash_to_min
 from .packing import pack
 from .setjoin import expand_pairs, set_classes, similar_sets
@@ -242,3 +243,34 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Containers of each capacity and the share of their room that is used."""
     used = _packed(spark, sf).filter("container_id IS NOT NULL").groupBy("capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("segments"))
     return used.groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("fill"))
+
+# 1 -- clusters of mutually similar records
+
+
+def _file_clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = read_table(spark, sf, "triangle_detailed").filter(usable("ani") & (F.col("ani") >= 95))
+    enough = [usable(c) & (F.col(c) >= 50) for c in ("align_fraction_ref", "align_fraction_query")]
+    pairs = rows.filter(enough[0] & enough[1]).select("ref_file", "query_file").distinct()
+    pairs = resolve_names(pairs, ["ref_file", "query_file"], read_table(spark, sf, "genomes"), "file_name")
+    nodes, edges, members, _ = density_clusters(pairs, "ref_file", "query_file")
+    groups = majority_groups(members, edges).join(nodes.select("id", "name"), "id")
+    ids = groups.groupBy("cluster").agg(F.min("name").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
+    return groups, ids, members
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of a cluster of mutually similar files."""
+    groups, ids, _ = _file_clusters(spark, sf)
+    return groups.join(ids, "cluster").select(F.col("name").alias("file_name"), "cluster_id")
+
+
+@query
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster with its size and its three most persistent members, those that came in at the densest level."""
+    groups, ids, members = _file_clusters(spark, sf)
+    typical = groups.join(members.select("id", "joined"), "id", "left")
+    first = Window.partitionBy("cluster").orderBy(F.asc_nulls_last("joined"), F.desc("similar"), "name")
+    best = typical.withColumn("r", F.row_number().over(first)).filter("r <= 3")
+    named = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("e"))
+    return ids.join(named, "cluster").select("cluster_id", "size", F.col("e.name").alias("exemplars"))
