@@ -12,6 +12,7 @@ from ..runtime import Workspace, read_table
 from .clusters import density_clusters, majority_groups
 from .components import hash_to_min
 from .packing import pack
+from .sentences import sentence_ends
 from .setjoin import expand_pairs, set_classes, similar_sets
 from .survivor import accession, built_records, kept_records
 from .tokens import decode_corpus, encode_corpus
@@ -274,3 +275,11 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     best = typical.withColumn("r", F.row_number().over(first)).filter("r <= 3")
     named = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("e"))
     return ids.join(named, "cluster").select("cluster_id", "size", F.col("e.name").alias("exemplars"))
+
+# 10 -- sentences across languages and scripts
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Ends of sentences, headlines, advert titles and stamps of every page."""
+    return sentence_ends(read_table(spark, sf, "documents"), "doc_id", "text", "lines", "page_w")
