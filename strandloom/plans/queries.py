@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import MARKER_ROW, is_marker
 from ..operators.keyed import heavy_keys, keyed_totals
 from ..runtime import read_table
+from . import queries_ani, queries_sketch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_sketch.QUERIES, **queries_ani.QUERIES}
+ORACLE: dict[str, str] = {**queries_sketch.ORACLE, **queries_ani.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
