@@ -203,10 +203,9 @@ def revcomp_expr(seq: Column) -> Column:
 def residues_expr(seq: Column) -> Column:
     """Residue letters of the codons from the first base on; a rest of one or two bases is left out."""
     table = F.array(*[F.lit(a) for a in CODONS])
-    n = F.floor(F.length(seq) / 3).cast("int")
-    codons = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     digits = F.translate(F.upper(seq), "ACGTU", "01233")
-    return F.array_join(F.transform(codons, lambda i: F.element_at(table, F.conv(F.substring(digits, i * 3 + 1, F.lit(3)), 4, 10).cast("int") + 1)), "")
+    codons = F.filter(F.split(digits, r"(?<=\G...)"), lambda x: F.length(x) == 3)
+    return F.array_join(F.transform(codons, lambda x: F.element_at(table, F.conv(x, 4, 10).cast("int") + 1)), "")
 
 
 def short_name(name: Column) -> Column:

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import resolve_names, usable
 from ..operators import output
-from ..operators.anchors import anchor_rows
+from ..operators.anchors import anchor_rows, orient
 from ..operators.ani import bootstrap_ci, chunk_identity, rejected, weighted_ani
 from ..operators.chain import chain_rows, chunk_rows
+from ..operators.screen import screen_pairs
 from ..operators.sketch import sketch
-from ..params import ChainParams, MapParams
+from ..params import MapParams, SketchParams, chain_params
 from ..runtime import Workspace, read_table
 from .commands import dist, search, triangle
-from .queries_sketch import BAND, DOC_PARAMS, doc_contigs, oriented_pairs, place_seeds
+from .queries_sketch import DOC_PARAMS, doc_contigs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-CP = ChainParams(125, 15, False)
+CP = chain_params(DOC_PARAMS)
+HIT_CP = chain_params(SketchParams())
 
 
 def query(f):
@@ -26,33 +28,35 @@ def query(f):
     return f
 
 
-# order-dependent operators over marker places of screened pairs
+# order-dependent operators over sequences of documents: every hundredth against all
 
 
-def _place_anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s = place_seeds(spark, sf)
+def _doc_anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    db, q = _docs(spark, sf), _docs(spark, sf, True)
+    pairs = screen_pairs(q.markers, db.markers, identity=0.97, indexed=True)
     space = Workspace(spark, "anchors")
-    a, k = anchor_rows(oriented_pairs(spark, sf), s, s, BAND)
+    oriented = space.save(orient(pairs.select("query_id", "ref_id"), q.genomes, db.genomes, DOC_PARAMS.c))
+    a, k = anchor_rows(oriented, db.seeds, db.seeds, CP)
     return space.save(a), space.save(k)
 
 
 @query
 def chunk_anchors(spark, sf):
     """Seeds of every fragment of every pair."""
-    c = chunk_rows(*_place_anchors(spark, sf))
+    c = chunk_rows(*_doc_anchors(spark, sf))
     return c.groupBy("query_id", "ref_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_seeds"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 @query
 def chain_intervals(spark, sf):
     """Best chains of every fragment, before they compete."""
-    return chain_rows(*_place_anchors(spark, sf), CP, compete=False)
+    return chain_rows(*_doc_anchors(spark, sf), CP, compete=False)
 
 
 @query
 def nonoverlap_chains(spark, sf):
     """Chains that keep their place on both genomes."""
-    return chain_rows(*_place_anchors(spark, sf), CP)
+    return chain_rows(*_doc_anchors(spark, sf), CP)
 
 
 # identities over search_hits, whose rows stand for fragments of a (run, query file) pair
@@ -75,7 +79,7 @@ e AS (SELECT *, pow(least(anchors / w, 1), 1.0::DOUBLE / 15) AS ani FROM i)"""
 @query
 def chunk_identities(spark, sf):
     """Identity and weight of every fragment of 500 bases or more."""
-    return chunk_identity(_chunks(spark, sf), CP).groupBy("query_id", "ref_id", "w", F.round("ani", 6).alias("ani")).agg(F.count(F.lit(1)).alias("n"))
+    return chunk_identity(_chunks(spark, sf), HIT_CP).groupBy("query_id", "ref_id", "w", F.round("ani", 6).alias("ani")).agg(F.count(F.lit(1)).alias("n"))
 
 
 ORACLE["chunk_identities"] = f"WITH {_CHUNKS_SQL} SELECT query_id, ref_id, w, round(ani, 6) AS ani, count(*) AS n FROM e GROUP BY query_id, ref_id, w, round(ani, 6)"
@@ -84,7 +88,7 @@ ORACLE["chunk_identities"] = f"WITH {_CHUNKS_SQL} SELECT query_id, ref_id, w, ro
 @query
 def weighted_identity(spark, sf):
     """Weighted mean identity of every pair."""
-    return weighted_ani(chunk_identity(_chunks(spark, sf), CP), ["query_id", "ref_id"]).withColumn("ani", F.round("ani", 6))
+    return weighted_ani(chunk_identity(_chunks(spark, sf), HIT_CP), ["query_id", "ref_id"]).withColumn("ani", F.round("ani", 6))
 
 
 ORACLE["weighted_identity"] = f"WITH {_CHUNKS_SQL} SELECT query_id, ref_id, round(sum(ani * w) / sum(w), 6) AS ani FROM e GROUP BY query_id, ref_id"
@@ -98,13 +102,13 @@ SELECT query_id, ref_id, round(sum(ani * w) / sum(w), 6) AS ani FROM s WHERE run
 @query
 def trimmed_identity(spark, sf):
     """Weighted mean between the 10th and 90th percentile of weight."""
-    return weighted_ani(chunk_identity(_chunks(spark, sf), CP), ["query_id", "ref_id"], 0.1, 0.9).withColumn("ani", F.round("ani", 6))
+    return weighted_ani(chunk_identity(_chunks(spark, sf), HIT_CP), ["query_id", "ref_id"], 0.1, 0.9).withColumn("ani", F.round("ani", 6))
 
 
 @query
 def median_identity(spark, sf):
     """Weighted median."""
-    return weighted_ani(chunk_identity(_chunks(spark, sf), CP), ["query_id", "ref_id"], 0.499, 0.501).withColumn("ani", F.round("ani", 6))
+    return weighted_ani(chunk_identity(_chunks(spark, sf), HIT_CP), ["query_id", "ref_id"], 0.499, 0.501).withColumn("ani", F.round("ani", 6))
 
 
 ORACLE["trimmed_identity"], ORACLE["median_identity"] = _trimmed_sql(0.1, 0.9), _trimmed_sql(0.499, 0.501)
@@ -113,7 +117,7 @@ ORACLE["trimmed_identity"], ORACLE["median_identity"] = _trimmed_sql(0.1, 0.9),
 @query
 def identity_spread(spark, sf):
     """Population standard deviation of the fragments of a pair."""
-    return chunk_identity(_chunks(spark, sf), CP).groupBy("query_id", "ref_id").agg(F.round(F.stddev_pop("ani"), 6).alias("std"), F.count(F.lit(1)).alias("n"))
+    return chunk_identity(_chunks(spark, sf), HIT_CP).groupBy("query_id", "ref_id").agg(F.round(F.stddev_pop("ani"), 6).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
 ORACLE["identity_spread"] = f"WITH {_CHUNKS_SQL} SELECT query_id, ref_id, round(stddev_pop(ani), 6) AS std, count(*) AS n FROM e GROUP BY query_id, ref_id"
@@ -147,7 +151,7 @@ FROM search_hits WHERE align_fraction_ref >= 0 AND NOT isnan(align_fraction_ref)
 @query
 def bootstrap_interval(spark, sf):
     """Resampled 5 to 95 per cent interval of the identity of every pair."""
-    return bootstrap_ci(chunk_identity(_chunks(spark, sf), CP), ["query_id", "ref_id"])
+    return bootstrap_ci(chunk_identity(_chunks(spark, sf), HIT_CP), ["query_id", "ref_id"])
 
 
 # reports
