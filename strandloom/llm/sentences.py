@@ -44,8 +44,10 @@ GAP = re.compile(r"(?<=\S)(?: {4,}|\t+ *| +\t+ *)(?=\S)")
 ALNUM = re.compile(r"[^\W_]")
 LOWER, UPPER = re.compile(r"[a-zß-öø-ÿά-ώа-яё]"), re.compile(r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]")
 THAI, GREEK, DOTLESS = re.compile(r"[ก-๛]"), re.compile(r"[Ͱ-Ͽἀ-῿]"), re.compile(r"[ऀ-ॿ฀-๿぀-ヿ㐀-鿿]")
+WORD = re.compile(r"[^\W\d_]")
 SPACES = re.compile(r"\s+")
-TALL, SECOND_COLUMN, INDENT = 42, 0.45, 27
+#: Least height of a headline, share of the page where the second column starts, indents of an advert's title and body.
+TALL, SECOND_COLUMN, TITLE_INDENT, INDENT = 42, 0.45, 14, 22
 
 
 class Flow:
@@ -121,7 +123,7 @@ def _ends_sentence(s: str, at: int, end: int, quoted: bool, closed: bool) -> boo
                 nxt = s[k:m]
                 return not (nxt.rstrip(".,").lower() in NEVER and nxt.endswith(".") or (len(nxt) == 2 and nxt[1] == ".") or nxt.rstrip(".,;!?") in ALWAYS_CAPITAL)
         return not next_lower
-    if mark == "…" or s[at : at + 2] == "..":
+    if mark in "…·" or s[at : at + 2] == "..":
         return not next_lower
     return not (closed and next_lower)
 
@@ -147,6 +149,8 @@ def _sentences(s: str) -> Iterator[int]:
                 b -= 1
             if not (b > start and GREEK.match(s[b - 1])):
                 continue
+        elif mark == "·" and not (at and s[at - 1].isalpha() and not GREEK.match(s[at - 1]) and after.isspace()):
+            continue  # but for Greek, whose colon it is, a period that was misread
         quoted = closed = False
         j = end
         while j < n:
@@ -157,7 +161,7 @@ def _sentences(s: str) -> Iterator[int]:
                 pass
             elif c == "«" and s.rfind("»", start, at) > s.rfind("«", start, at):
                 pass
-            elif c in "   \n" and j + 1 < n and s[j + 1] in "»›" and (j + 2 >= n or not s[j + 2].isalnum()) and s.rfind("«", start, at) > s.rfind("»", start, at):
+            elif c in " \u00a0\u202f\n" and j + 1 < n and s[j + 1] in "»›" and (j + 2 >= n or not s[j + 2].isalnum()) and s.rfind("«", start, at) > s.rfind("»", start, at):
                 j += 1
             elif c == "\n" and j + 1 < n and s[j + 1] in "”’」』）)" :
                 j += 1
@@ -201,9 +205,7 @@ def page_units(text: str, x0: np.ndarray | None, y0: np.ndarray | None, y1: np.n
     x = x0.tolist() if boxes else None
     h = (y1 - y0).tolist() if boxes else None
     split = width * SECOND_COLUMN
-    thai = len(THAI.findall(text)) * 2 > sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    cased = bool(LOWER.search(text)) and not thai
-    find = _thai_sentences if thai else _sentences
+    cased = len(LOWER.findall(text)) * 4 > len(WORD.findall(text))
     ends: list[int] = []
     flows = [Flow(), Flow()]  # of the two columns
     heads: list[int | None] = [None, None]  # end of the headline that is open in a column
@@ -216,7 +218,8 @@ def page_units(text: str, x0: np.ndarray | None, y0: np.ndarray | None, y1: np.n
     def close(flow: Flow) -> None:
         if flow.parts:
             s = flow.text()
-            ends.extend(flow.place(i) for i in find(s))
+            thai = THAI.search(s) and len(THAI.findall(s)) * 2 > len(WORD.findall(s))
+            ends.extend(flow.place(i) for i in (_thai_sentences if thai else _sentences)(s))
 
     def headline(col: int, piece: str, place: int) -> None:
         if heads[col] is None:
@@ -267,7 +270,7 @@ def page_units(text: str, x0: np.ndarray | None, y0: np.ndarray | None, y1: np.n
             col = int(x[i] >= split)
             indented = x[i] - left >= INDENT and not col
             if tall:
-                if indented and x[i] - left >= INDENT + 12:
+                if not col and x[i] - left >= TITLE_INDENT:
                     if advert is None or advert.parts:
                         close_advert()
                         advert = Flow()

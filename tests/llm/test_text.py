@@ -83,6 +83,7 @@ def units(text, boxes=None, width=2000):
         ("A line bro-\nken here. Next\none.", ["A line bro-\nken here.", "Next\none."]),
         ("и т. д. Потом п. конец и т. д. вот.", ["и т. д.", "Потом п. конец и т. д. вот."]),
         ("----\n***\nNo end here\n[page image 0007]\n", ["----\n***\nNo end here", "[page image 0007]"]),
+        ("A misread dot· The next one. Ένα με· και άλλο.", ["A misread dot·", "The next one.", "Ένα με· και άλλο."]),
         ("", []),
         (" \n\t", []),
         ("...", []),
