@@ -34,7 +34,7 @@ GERMAN_ORDINAL = re.compile(r"(?:Jan|Feb|März|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|D
 #: Words that report speech after a closing quote, in scripts without capitals.
 REPORTS = re.compile(r"(?:と\s*(?:言|答|話|述|問|$)|[他她]\s*(?:說|問|说|问|道|答|$)|قال|سأل|पूछा|कहा)")
 
-TERMINATOR = re.compile(r"[.!?…؟।॥。！？｡;;۔]+(?:\s?[!?…])*")
+TERMINATOR = re.compile(r"[.!?…؟।॥。！？｡;;۔·]+(?:\s?[!?…])*")
 CLOSER = "”’»›\"')]}）】」』〉》"
 QUOTES = frozenset("”’»›\"'“«」』〉》")
 SPECK = "·|°<>*^~¬­•_=—-–"
