@@ -146,3 +146,20 @@ def test_plans_push_down_and_stay_in_the_jvm(spark):
         plan = QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
         assert "ReadSchema" in plan
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    from strandloom.__main__ import main, mapped, parser, sampled
+
+    a = parser().parse_args(["dist", "-q", "x", "-r", "y", "--small-genomes", "-c", "40", "-s", "90"])
+    assert sampled(a) == SketchParams(c=40, marker_c=200) and mapped(a).rescue is False and mapped(a).screen_identity(False) == 0.9
+    db = str(tmp_path / "db")
+    main(["sketch", str(files / "a.fa"), str(files / "b.fa"), "-o", db, "-c", "30", "-m", "200"])
+    main(["search", str(files / "b.fa"), "-d", db, "-n", "1", "--short-header"])
+    rows = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert rows[0] == output.BASIC and len(rows) == 2 and rows[1][2] == "100.00" and rows[1][5] == "b1"
+    main(["triangle", str(files / "a.fa"), str(files / "b.fa"), "-c", "30", "-m", "200", "--full-matrix", "--diagonal", "--distance"])
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert len(lines) == 3 and lines[1][1] == "0.00" and 0 < float(lines[1][2]) < 2
+    main(["dist", "-q", str(files / "a.fa"), "-r", db, "--detailed", "-o", str(tmp_path / "out")])
+    assert len(spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out")).columns) == 20
