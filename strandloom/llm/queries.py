@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql_names
 from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, is_stand_in, percent_at_least, resolve_names, usable
 from ..runtime import Workspace, read_table
 from .clusters import density_clusters, majority_groups
@@ -41,22 +42,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select(F.col("node").alias("file_name"), "group_id")
 
 
-NAMES_SQL = r"""
-names AS (SELECT DISTINCT file_name AS known, regexp_replace(regexp_replace(file_name, '^\s+|\s+$', '', 'g'), '^(\./)+', '') AS bare
-          FROM genomes WHERE file_name IS NOT NULL),
-best AS (SELECT bare, min(known) AS best FROM names GROUP BY bare)
-"""
-
-
-def name_sql(c: str) -> str:
-    """The known spelling of file name ``c``: itself, or the smallest with its bare name."""
-    bare = rf"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '^(\./)+', '')"
-    return f"coalesce((SELECT known FROM names WHERE known = {c}), (SELECT best FROM best WHERE bare = {bare}), {bare})"
-
-
 ORACLE["p2_found"] = f"""
-WITH RECURSIVE {NAMES_SQL},
-links AS (SELECT DISTINCT a, b FROM (SELECT {name_sql('ref_file')} AS a, {name_sql('query_file')} AS b FROM triangle_basic
+WITH RECURSIVE {sql_names.NAMES},
+links AS (SELECT DISTINCT a, b FROM (SELECT {sql_names.known('ref_file')} AS a, {sql_names.known('query_file')} AS b FROM triangle_basic
           WHERE ani IS NOT NULL AND NOT isnan(ani) AND ani >= 0 AND CASE WHEN ani <= 1 THEN ani >= 0.95 ELSE ani >= 95 END) WHERE a <> b),
 two AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a AS v, a AS u FROM two UNION SELECT r.v, t.b FROM reach r JOIN two t ON r.u = t.a)
