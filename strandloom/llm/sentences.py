@@ -39,7 +39,8 @@ CLOSER = "”’»›\"')]}）】」』〉》"
 QUOTES = frozenset("”’»›\"'“«」』〉》")
 SPECK = "·|°<>*^~¬­•_=—-–"
 RULE = re.compile(r"^[\s\-–—_=*.·•~]+$")
-STAMP = re.compile(r"^\s*(?:\[[^\[\]\n]*\]|\*{2,}\s*\w[^*\n]*\*{2,})\s*$")
+#: A whole line in square brackets, between asterisks, or of tags in angle brackets with a word before or after.
+STAMP = re.compile(r"^\s*(?:\[[^\[\]\n]*\]|\*{2,}\s*\w[^*\n]*\*{2,}|\w{0,20}(?:<[^<>\n]{1,30}>)+(?:[ \w]{0,20}))\s*$")
 GAP = re.compile(r"(?<=\S)(?: {4,}|\t+ *| +\t+ *)(?=\S)")
 ALNUM = re.compile(r"[^\W_]")
 LOWER, UPPER = re.compile(r"[a-zß-öø-ÿά-ώа-яё]"), re.compile(r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]")

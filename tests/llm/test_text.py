@@ -84,6 +84,10 @@ def units(text, boxes=None, width=2000):
         ("и т. д. Потом п. конец и т. д. вот.", ["и т. д.", "Потом п. конец и т. д. вот."]),
         ("----\n***\nNo end here\n[page image 0007]\n", ["----\n***\nNo end here", "[page image 0007]"]),
         ("A misread dot· The next one. Ένα με· και άλλο.", ["A misread dot·", "The next one.", "Ένα με· και άλλο."]),
+        ("The end\n<|endoftext|>", ["The end", "<|endoftext|>"]),
+        ("The end.\n<|startoftext|> roll 7", ["The end.", "<|startoftext|> roll 7"]),
+        ("The end.\nENDOFPAGE<unk>", ["The end.", "ENDOFPAGE<unk>"]),
+        ("The end.\n</s><s>", ["The end.", "</s><s>"]),
         ("", []),
         (" \n\t", []),
         ("...", []),
