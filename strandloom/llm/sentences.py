@@ -74,6 +74,12 @@ class Flow:
         return self.places[k] + i - self.starts[k]
 
 
+def _open(flow: Flow) -> bool:
+    """Does a flow stop within a sentence?"""
+    last = flow.parts[-1].rstrip() if flow.parts else ""
+    return bool(last) and last[-1] not in ".!?。！？।؟…;·" + CLOSER + "“«"
+
+
 def _last_visible(s: str, start: int, end: int) -> int:
     """Index of the last character before ``end`` that is neither white space nor a speck after it."""
     i = end - 1
@@ -287,9 +293,22 @@ def page_units(text: str, x0: np.ndarray | None, y0: np.ndarray | None, y1: np.n
             else:
                 close_advert()
                 body(col, s, place)
-        elif cased and not LOWER.search(s) and len(UPPER.findall(s)) > 2 and UPPER.search(s):
-            headline(0, s, place)
+        elif cased and not LOWER.search(s) and len(UPPER.findall(s)) > 2:
+            # Capitals within an open sentence are the title of an advert, elsewhere a headline.
+            if advert is not None and not advert.parts:
+                advert_title = place + len(s.rstrip()) - 1
+            elif heads[0] is None and advert is None and _open(flows[0]):
+                advert, advert_title = Flow(), place + len(s.rstrip()) - 1
+            else:
+                close_advert()
+                headline(0, s, place)
+        elif advert is not None and not (advert.parts and not _open(advert) and s.lstrip()[:1].islower()):
+            if advert_title is not None:
+                ends.append(advert_title)
+                advert_title = None
+            advert.add(s, place)
         else:
+            close_advert()
             body(0, s, place)
     close_advert()
     for col in (0, 1):
@@ -297,9 +316,8 @@ def page_units(text: str, x0: np.ndarray | None, y0: np.ndarray | None, y1: np.n
             ends.append(heads[col])
     if flows[0].parts and flows[1].parts:
         # The second column may go on with the first one's last sentence.
-        tail, headless = flows[0].text().rstrip(), flows[1]
-        first = headless.parts[0].lstrip()
-        if tail and tail[-1] not in ".!?。！？।؟…" + CLOSER and first[:1].islower():
+        headless = flows[1]
+        if _open(flows[0]) and headless.parts[0].lstrip()[:1].islower():
             for piece, p in zip(headless.parts, headless.places):
                 flows[0].add(piece, p)
             flows[1] = Flow()
@@ -335,7 +353,7 @@ def sentence_ends(df: DataFrame, id: str, text: str, lines: str, width: str) ->
     """``(id, end_pos)``: 0-based code point place of the last character of each unit.
 
     Empty, blank and null texts have no rows. Without boxes, or with another number
-    of them than lines, only capitals tell headlines and adverts are read as body.
+    of them than lines, only capitals and rules tell headlines and adverts.
     Texts of any length are read whole, a page in one task. Empty tables give no rows.
     """
     src = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.transform(F.col(lines), lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["y1"].alias("y1"))).alias("lines"), F.col(width).cast("double").alias("width"))

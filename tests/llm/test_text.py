@@ -88,6 +88,7 @@ def units(text, boxes=None, width=2000):
         ("The end.\n<|startoftext|> roll 7", ["The end.", "<|startoftext|> roll 7"]),
         ("The end.\nENDOFPAGE<unk>", ["The end.", "ENDOFPAGE<unk>"]),
         ("The end.\n</s><s>", ["The end.", "</s><s>"]),
+        ("BIG NEWS\nVarios río propi-\nBUY SOAP\nGood soap. Cheap\nsoap!\netario tormenta. Fin.", ["BIG NEWS", "Varios río propi-\nBUY SOAP", "Good soap.", "Cheap\nsoap!", "etario tormenta.", "Fin."]),
         ("", []),
         (" \n\t", []),
         ("...", []),
