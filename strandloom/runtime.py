@@ -71,23 +71,27 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        fs, path = self._hadoop(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)  # with the session, not before: results are read lazily
+
+    def _hadoop(self, path: str):
+        """File system and path object of a location."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
         self._n += 1
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._strandloom_path = path
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables written by ``save``; other DataFrames are ignored."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             path = getattr(df, "_strandloom_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                fs, p = self._hadoop(path)
+                fs.delete(p, True)
