@@ -100,3 +100,34 @@ def test_competition_keeps_the_larger_group(spark):
     ids = members.select("id").distinct()
     both = ids.withColumn("cluster", F.lit(1).cast("long"))
     assert majority_groups(both, edges).groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def planted(seed, groups, size, inside, across):
+    rnd = random.Random(seed)
+    names = [(g, f"g{g}_{i:02}") for g in range(groups) for i in range(size)]
+    pairs = [(a, b) for i, (g, a) in enumerate(names) for h, b in names[:i] if rnd.random() < (inside if g == h else across)]
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    return pairs, adj, [{n for g, n in names if g == k} for k in range(groups)]
+
+
+def is_group(c, adj):
+    return len(c) >= 3 and all(2 * len(adj[v] & c) > len(c) - (v in c) for v in c) and not any(2 * len(adj[v] & c) > len(c) for v in adj if v not in c)
+
+
+def test_groups_that_swing_settle(spark):
+    # 70 per cent of pairs inside and 20 across: moved all at once, these groups swing between two states for ever
+    swinging = {8: 1, 17: 0, 24: 1, 26: 0}
+    pairs = [(f"s{s:02}{a}", f"s{s:02}{b}") for s in swinging for a, b in planted(s, 2, 12, 0.7, 0.2)[0]]
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    nodes, edges, _, _ = density_clusters(spark.createDataFrame(pairs, SCHEMA), "a", "b")
+    starts = [(n, s) for s, g in swinging.items() for n in adj if n.startswith(f"s{s:02}g{g}")]
+    start = spark.createDataFrame(starts, "name string, cluster long").join(nodes, "name").select("id", "cluster")
+    got = majority_groups(start, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
+    assert all(is_group(set(r.n), adj) for r in got)
+    assert {n[:3] for r in got for n in r.n} == {f"s{s:02}" for s in swinging}
