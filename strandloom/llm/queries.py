@@ -258,7 +258,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Every cluster with its size and its three most persistent members, those that came in at the densest level."""
     groups, ids, members = _file_clusters(spark, sf)
-    typical = groups.join(members.select("id", "joined"), "id", "left")
+    typical = groups.join(members.select("id", "joined").distinct(), "id", "left")
     first = Window.partitionBy("cluster").orderBy(F.asc_nulls_last("joined"), F.desc("similar"), "name")
     best = typical.withColumn("r", F.row_number().over(first)).filter("r <= 3")
     named = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("e"))

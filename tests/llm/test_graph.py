@@ -131,3 +131,15 @@ def test_groups_that_swing_settle(spark):
     got = majority_groups(start, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
     assert all(is_group(set(r.n), adj) for r in got)
     assert {n[:3] for r in got for n in r.n} == {f"s{s:02}" for s in swinging}
+
+
+def test_groups_below_a_selected_parent(spark):
+    # four groups of 30 with some similar pairs between them: the parent of 120 is no group, those in it are
+    pairs, adj, blocks = planted(1, 4, 30, 0.85, 0.2)
+    groups = {frozenset(b) for b in blocks if is_group(b, adj)}
+    nodes, edges, members, _ = density_clusters(spark.createDataFrame(pairs, SCHEMA), "a", "b")
+    got = majority_groups(members, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
+    assert len(groups) == 4 and {frozenset(r.n) for r in got} == groups
+    # without any hierarchy the records left over find them by themselves
+    got = majority_groups(members.limit(0), edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
+    assert {frozenset(r.n) for r in got} == groups
