@@ -274,17 +274,17 @@ def _short(r: DataFrame) -> DataFrame:
 @query
 def dist_ani(spark, sf):
     """Every hundredth document against all, with resampled intervals."""
-    r = dist(_docs(spark, sf, True), _docs(spark, sf), MapParams(screen=97, rescue=False), ci=True)
+    r = dist(_docs(spark, sf, True), _docs(spark, sf), MapParams(), ci=True)
     return r.select("ref_file", "query_file", "ani", "ci_lower", "ci_upper")
 
 
 @query
 def search_ani(spark, sf):
     """Every hundredth document searched in a database of all."""
-    return _short(search(_docs(spark, sf, True), _docs(spark, sf), MapParams(screen=97)))
+    return _short(search(_docs(spark, sf, True), _docs(spark, sf)))
 
 
 @query
 def triangle_ani(spark, sf):
-    """All pairs of near-identical documents."""
-    return _short(triangle(_docs(spark, sf), MapParams(screen=99.5, rescue=False)))
+    """All pairs of documents."""
+    return _short(triangle(_docs(spark, sf)))

@@ -163,3 +163,20 @@ def test_command_line(spark, files, tmp_path, capsys):
     assert len(lines) == 3 and lines[1][1] == "0.00" and 0 < float(lines[1][2]) < 2
     main(["dist", "-q", str(files / "a.fa"), "-r", db, "--detailed", "-o", str(tmp_path / "out")])
     assert len(spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out")).columns) == 20
+
+
+def test_command_queries_use_the_default_screen(spark, monkeypatch):
+    from strandloom.plans import queries_ani
+
+    seen = {}
+    for name in ("dist", "search", "triangle"):
+
+        def kept(*sketches, _name=name, ci=False):
+            mp = next((s for s in sketches if isinstance(s, MapParams)), MapParams())
+            seen[_name] = (mp.screen_identity(False), mp.rescue)
+            return spark.createDataFrame([], "ref_file string, query_file string, ani double, af_ref double, af_query double, total_bases long, ci_lower double, ci_upper double")
+
+        monkeypatch.setattr(queries_ani, name, kept)
+    for q in ("dist_ani", "search_ani", "triangle_ani"):
+        queries_ani.QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert seen == {n: (0.8, True) for n in ("dist", "search", "triangle")}
