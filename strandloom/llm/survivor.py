@@ -13,8 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: letters, number of three digits or more, version; what joins them is free, but for a path separator.
-ACCESSION = r"(?i)(?<![a-z0-9])([a-z]+)[^a-z0-9/]*0*([1-9][0-9]{2,}|0{3,})(?:v|[^a-z0-9/])0*([0-9]+)(?![0-9])"
+#: letters, number of three digits or more, leading zeros counted, version; what joins them is free, but for a path separator.
+ACCESSION = r"(?i)(?<![a-z0-9])([a-z]+)[^a-z0-9/]*(?=[0-9]{3})0*([1-9][0-9]*|0)(?:v|[^a-z0-9/])0*([0-9]+)(?![0-9])"
 
 
 def accession_in(text: Column) -> Column:

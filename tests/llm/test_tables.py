@@ -94,3 +94,9 @@ def test_survivors(spark):
     assert built[("a", 0)] == ("y.fa", 10)  # 5 + 9 votes for 10 outweigh 5 + 5 for 12
     assert built[("a", 1)] == ("q.fa", 3)
     assert kept_records(df.limit(0), ["acc", "ord"], "id", ok, F.col("trust"), F.col("at")).count() == 0
+
+
+def test_accession_counts_digits_before_zeros_are_stripped(spark):
+    names = ["GCA_000000042.1", "gca-42.1", "gca_000000042v2.fa", "GCA_00012345.3", "gca_12345.3", "x_000.1", "x_0000.1", "ab_12.1"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(accession_in(F.col("n"))).collect()]
+    assert got[0] == "gca_42.1" and got[1] is None and got[2] == "gca_42.2" and got[3] == got[4] == "gca_12345.3" and got[5] == got[6] is not None and got[7] is None
