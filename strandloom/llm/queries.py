@@ -241,8 +241,9 @@ def _file_clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     enough = [usable(c) & (F.col(c) >= 50) for c in ("align_fraction_ref", "align_fraction_query")]
     pairs = rows.filter(enough[0] & enough[1]).select("ref_file", "query_file").distinct()
     pairs = resolve_names(pairs, ["ref_file", "query_file"], read_table(spark, sf, "genomes"), "file_name")
-    nodes, edges, members, _ = density_clusters(pairs, "ref_file", "query_file")
-    groups = majority_groups(members, edges).join(nodes.select("id", "name"), "id")
+    nodes, edges, tree, members, _ = density_clusters(pairs, "ref_file", "query_file")
+    selected = members.filter("selected IS NOT NULL").select("id", F.col("selected").alias("cluster"))
+    groups = majority_groups(selected, edges, tree).join(nodes.select("id", "name"), "id")
     ids = groups.groupBy("cluster").agg(F.min("name").alias("cluster_id"), F.count(F.lit(1)).alias("size"))
     return groups, ids, members
 
@@ -256,9 +257,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Every cluster with its size and its three most persistent members, those that came in at the densest level."""
+    """Every cluster with its size and its three most persistent members, those that came in at the smallest distance."""
     groups, ids, members = _file_clusters(spark, sf)
-    typical = groups.join(members.select("id", "joined").distinct(), "id", "left")
+    typical = groups.join(members.select("id", "joined"), "id", "left")
     first = Window.partitionBy("cluster").orderBy(F.asc_nulls_last("joined"), F.desc("similar"), "name")
     best = typical.withColumn("r", F.row_number().over(first)).filter("r <= 3")
     named = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("e"))

@@ -1,12 +1,14 @@
 """Components and density clusters against brute force."""
 
+import itertools
 import random
-from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.clusters import density_clusters, majority_groups
+from strandloom.llm.clusters import condensed, density_clusters, majority_groups, spanning_forest
 from strandloom.llm.components import hash_to_min
+from strandloom.runtime import Workspace
 
 SCHEMA = "a string, b string"
 
@@ -39,28 +41,51 @@ def test_hash_to_min(spark):
     assert hash_to_min(df.limit(0), "a", "b").count() == 0
 
 
-def brute(adj):
-    """Groups that the definition gives, from every neighbourhood as a start."""
-    found = set()
-    for v in adj:
-        for c in [{v} | adj[v], *[({v} | adj[v]) & ({u} | adj[u]) for u in adj[v]]]:
-            for _ in range(30):
-                n, cnt = len(c), Counter(w for x in c for w in adj[x])
-                new = {x for x in c if 2 * cnt[x] > n - 1} | {x for x, k in cnt.items() if x not in c and 2 * k > n}
-                if new == c or len(new) < 3:
-                    break
-                c = new
-            if new == c and len(c) >= 3:
-                found.add(frozenset(c))
-    out, used = set(), set()
-    for c in sorted(found, key=lambda c: (-len(c), min(c))):
-        if not c & used:
-            out.add(c)
-            used |= c
-    return out
+def neighbours(pairs):
+    adj = {}
+    for a, b in pairs:
+        if a and b and a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+    return adj
+
+
+def is_group(c, adj):
+    return len(c) >= 3 and all(2 * len(adj[v] & c) > len(c) - (v in c) for v in c) and not any(2 * len(adj[v] & c) > len(c) for v in adj if v not in c)
+
+
+def competing(groups, adj):
+    """The larger first; of equal ones that with the smallest member by (links, name)."""
+    out, used = [], set()
+    for g in sorted(groups, key=lambda g: (-len(g), sorted((len(adj[v]), v) for v in g))):
+        if used.isdisjoint(g):
+            out.append(g)
+            used |= g
+    return set(out)
+
 
+def all_groups(adj):
+    """The groups of a small graph by the definition, out of all subsets."""
+    return competing((g for k in range(3, len(adj) + 1) for g in map(frozenset, itertools.combinations(adj, k)) if is_group(g, adj)), adj)
 
-def test_clusters_with_bridges(spark):
+
+def found(spark, pairs, hierarchy=True, **sizes):
+    df = pairs if not isinstance(pairs, list) else spark.createDataFrame(pairs, SCHEMA)
+    nodes, edges, tree, members, _ = density_clusters(df, "a", "b", **sizes)
+    starts = members.filter("selected IS NOT NULL" if hierarchy else "false").select("id", F.col("selected").alias("cluster"))
+    got = majority_groups(starts, edges, tree, **{k: v for k, v in sizes.items() if k == "task_edges"}).join(nodes, "id")
+    got = got.groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
+    out = [frozenset(r.n) for r in got]
+    assert len(out) == len(set(out)) and sum(map(len, out)) == len(frozenset().union(*out))
+    return set(out)
+
+
+#: Everything in tasks, or every step in rows, as for components that no task takes.
+SIZES = [{}, {"few": 0, "task_edges": 2}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_clusters_with_bridges(spark, sizes):
     rnd = random.Random(4)
     pairs, blocks = set(), []
     for g, size in enumerate([3, 4, 5, 7, 12, 25, 3, 8]):
@@ -74,72 +99,103 @@ def test_clusters_with_bridges(spark):
         x, y = rnd.sample(blocks, 2)
         pairs.add((rnd.choice(x), rnd.choice(y)))
     pairs.add(("pair1", "pair2"))
-    adj = {}
-    for a, b in pairs:
-        adj.setdefault(a, set()).add(b)
-        adj.setdefault(b, set()).add(a)
     rows = list(pairs) + [(b, a) for a, b in list(pairs)[:30]] + [("f0_00", "f0_00"), (None, "f0_01")]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0))
-    nodes, edges, members, clusters = density_clusters(df, "a", "b")
-    got = majority_groups(members, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
-    assert {frozenset(r.n) for r in got} == brute(adj)
-    assert clusters.count() >= len(got) and members.filter("joined < 1 OR joined > 10").isEmpty()
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0)).withColumn("cluster", F.lit("clash"))
+    assert found(spark, df, **sizes) == {frozenset(b) for b in blocks if is_group(set(b), neighbours(pairs))}
+
+
+def tree_weight(edges):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for d, x, y in sorted(edges):
+        a, b = find(x), find(y)
+        if a != b:
+            up[a] = b
+            out.append((d, x, y))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 5, 1000])
+def test_spanning_forest_is_that_of_kruskal(spark, few):
+    rnd = random.Random(few)
+    edges = {(x, y): rnd.choice([0.1, 0.2, 0.25, 0.7]) for x, y in {tuple(sorted(rnd.sample(range(80), 2))) for _ in range(150)}} | {(100 + i, 101 + i): i / 99 for i in range(60)}
+    df = spark.createDataFrame([(x, y, d) for (x, y), d in edges.items()], "x long, y long, d double")
+    tree = spanning_forest(df, Workspace(spark, "t"), few).collect()
+    want = tree_weight([(d, x, y) for (x, y), d in edges.items()])
+    assert sorted((r.d, r.x, r.y) for r in tree) == want
+    parts = groups([(r.x, r.y) for r in tree])
+    assert len({r.tree for r in tree}) == len(set(parts.values())) == len({(r.tree, parts[r.x]) for r in tree})
+
+
+def test_hierarchy_in_blocks_is_that_of_whole_trees(spark):
+    rnd = random.Random(3)
+    rows = [(1, i, rnd.randrange(i), rnd.choice([0.0, 0.1, 0.3, 0.5, 0.8])) for i in range(1, 120)] + [(2, 200, 201, 0.5), (3, 300, 301, 0.1), (3, 301, 302, 0.1)]
+    tree = spark.createDataFrame(rows, "tree long, x long, y long, d double")
+    out = []
+    for task_edges in (1000, 7):
+        members, clusters = condensed(tree, 3, Workspace(spark, "t"), task_edges)
+        m = members.toPandas()
+        chosen = {frozenset(g.id) for _, g in m[m.selected.notna()].groupby("selected")}
+        out.append((sorted((r.id, round(r.joined, 9)) for r in m.itertuples()), chosen, sorted(round(r.stability, 6) for r in clusters.filter("stability > 0").collect())))
+    assert out[0] == out[1] and len(out[0][1]) > 1 and len(out[0][2]) > 3
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_noisy_small_graphs_against_all_subsets(spark, sizes):
+    pairs, want = [], set()
+    for seed in range(240):
+        rnd = random.Random(seed)
+        n, p = rnd.randint(6, 9), rnd.choice([0.3, 0.4, 0.5, 0.6, 0.7])
+        mine = [(f"g{seed:03}_{i}", f"g{seed:03}_{j}") for i in range(n) for j in range(i) if rnd.random() < p]
+        pairs += mine
+        want |= all_groups(neighbours(mine))
+    got = found(spark, pairs, **sizes)
+    adj = neighbours(pairs)
+    assert all(is_group(g, adj) for g in got)
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (len(want), len(got), len(got & want))
 
 
 def test_no_pairs(spark):
-    nodes, edges, members, clusters = density_clusters(spark.createDataFrame([], SCHEMA), "a", "b")
-    assert [x.count() for x in (nodes, edges, members, clusters)] == [0] * 4
-    assert majority_groups(members, edges).count() == 0
+    nodes, edges, tree, members, clusters = density_clusters(spark.createDataFrame([], SCHEMA), "a", "b")
+    assert [x.count() for x in (nodes, edges, tree, members, clusters)] == [0] * 5
+    assert majority_groups(members.select("id", "cluster"), edges, tree).count() == 0
 
 
-def test_competition_keeps_the_larger_group(spark):
-    # two cliques of 4 and 5 that share one vertex: it goes to the larger one, and the rest of 4 falls or stands by the rule
+@pytest.mark.parametrize("sizes", SIZES)
+def test_competition_keeps_the_larger_group(spark, sizes):
+    # two cliques of 4 and 5 that share one record: it goes to the larger one, and the other is no group without it
     five, four = [f"a{i}" for i in range(5)], ["a0", "b1", "b2", "b3"]
     pairs = [(x, y) for g in (five, four) for i, x in enumerate(g) for y in g[:i]]
-    _, edges, members, _ = density_clusters(spark.createDataFrame(pairs, SCHEMA), "a", "b")
-    ids = members.select("id").distinct()
-    both = ids.withColumn("cluster", F.lit(1).cast("long"))
-    assert majority_groups(both, edges).groupBy("id").count().filter("count > 1").isEmpty()
+    got = found(spark, pairs, **sizes)
+    assert got == all_groups(neighbours(pairs))
 
 
 def planted(seed, groups, size, inside, across):
     rnd = random.Random(seed)
-    names = [(g, f"g{g}_{i:02}") for g in range(groups) for i in range(size)]
+    names = [(g, f"s{seed}g{g}_{i:02}") for g in range(groups) for i in range(size)]
     pairs = [(a, b) for i, (g, a) in enumerate(names) for h, b in names[:i] if rnd.random() < (inside if g == h else across)]
-    adj = {}
-    for a, b in pairs:
-        adj.setdefault(a, set()).add(b)
-        adj.setdefault(b, set()).add(a)
-    return pairs, adj, [{n for g, n in names if g == k} for k in range(groups)]
+    return pairs, [{n for g, n in names if g == k} for k in range(groups)]
 
 
-def is_group(c, adj):
-    return len(c) >= 3 and all(2 * len(adj[v] & c) > len(c) - (v in c) for v in c) and not any(2 * len(adj[v] & c) > len(c) for v in adj if v not in c)
-
-
-def test_groups_that_swing_settle(spark):
+@pytest.mark.parametrize("sizes", SIZES)
+def test_groups_that_swing_settle(spark, sizes):
     # 70 per cent of pairs inside and 20 across: moved all at once, these groups swing between two states for ever
-    swinging = {8: 1, 17: 0, 24: 1, 26: 0}
-    pairs = [(f"s{s:02}{a}", f"s{s:02}{b}") for s in swinging for a, b in planted(s, 2, 12, 0.7, 0.2)[0]]
-    adj = {}
-    for a, b in pairs:
-        adj.setdefault(a, set()).add(b)
-        adj.setdefault(b, set()).add(a)
-    nodes, edges, _, _ = density_clusters(spark.createDataFrame(pairs, SCHEMA), "a", "b")
-    starts = [(n, s) for s, g in swinging.items() for n in adj if n.startswith(f"s{s:02}g{g}")]
-    start = spark.createDataFrame(starts, "name string, cluster long").join(nodes, "name").select("id", "cluster")
-    got = majority_groups(start, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
-    assert all(is_group(set(r.n), adj) for r in got)
-    assert {n[:3] for r in got for n in r.n} == {f"s{s:02}" for s in swinging}
+    pairs = [p for seed in (8, 17, 24, 26) for p in planted(seed, 2, 12, 0.7, 0.2)[0]]
+    got, adj = found(spark, pairs, **sizes), neighbours(pairs)
+    assert all(is_group(g, adj) for g in got) and len({min(g).split("g")[0] for g in got}) == 4
 
 
-def test_groups_below_a_selected_parent(spark):
+@pytest.mark.parametrize("sizes", SIZES)
+@pytest.mark.parametrize("hierarchy", [True, False])
+def test_groups_below_a_selected_parent(spark, sizes, hierarchy):
     # four groups of 30 with some similar pairs between them: the parent of 120 is no group, those in it are
-    pairs, adj, blocks = planted(1, 4, 30, 0.85, 0.2)
+    pairs, blocks = planted(1, 4, 30, 0.85, 0.2)
+    adj = neighbours(pairs)
     groups = {frozenset(b) for b in blocks if is_group(b, adj)}
-    nodes, edges, members, _ = density_clusters(spark.createDataFrame(pairs, SCHEMA), "a", "b")
-    got = majority_groups(members, edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
-    assert len(groups) == 4 and {frozenset(r.n) for r in got} == groups
-    # without any hierarchy the records left over find them by themselves
-    got = majority_groups(members.limit(0), edges).join(nodes, "id").groupBy("cluster").agg(F.collect_set("name").alias("n")).collect()
-    assert {frozenset(r.n) for r in got} == groups
+    assert len(groups) == 4 and found(spark, pairs, hierarchy, **sizes) == groups
