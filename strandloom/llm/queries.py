@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql_names
-from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, is_stand_in, percent_at_least, resolve_names, usable
+from ..functions.cleaning import MARKER_ROW, bare_name, is_marker, percent_at_least, resolve_names, usable
 from ..runtime import Workspace, read_table
 from .clusters import density_clusters, majority_groups
 from .components import hash_to_min
 from .packing import pack
 from .sentences import sentence_ends
 from .setjoin import expand_pairs, set_classes, similar_sets
-from .survivor import accession, built_records, kept_records
+from .survivor import STAND_INS, accession, elected_records, is_stand_in
 from .tokens import decode_corpus, encode_corpus
 from .topk import threshold_topk
 from .topn import banded_top_n
@@ -139,36 +139,33 @@ def _assemblies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("accession", accession("file_name", "contigs")).join(trust, F.lower(F.trim("source_db")) == F.col("__source"), "left").drop("__source")
 
 
-def _filled() -> dict[str, Column]:
-    """What counts as really filled in genomes."""
-    return {
-        "file_name": ~is_stand_in("file_name"),
-        "contigs": F.coalesce(F.exists("contigs", lambda h: ~is_stand_in(h)), F.lit(False)),
-        "contig_lengths": F.coalesce(F.exists("contig_lengths", lambda n: n > 0), F.lit(False)),
-        "total_len": F.coalesce(F.col("total_len") > 0, F.lit(False)),
-        "n_contigs": F.coalesce(F.col("n_contigs") > 0, F.lit(False)),
+def _survivors(rows: DataFrame) -> DataFrame:
+    """Elections of all assemblies; what counts as really filled in genomes, and when two values are the same."""
+
+    def joined(c: str) -> Column:
+        return F.array_join(F.col(c).cast("array<string>"), "\x1f")
+
+    fields = {
+        "file_name": (~is_stand_in("file_name"), F.lower(bare_name("file_name"))),
+        "contigs": (F.coalesce(F.exists("contigs", lambda h: ~is_stand_in(h)), F.lit(False)), joined("contigs")),
+        "contig_lengths": (F.coalesce(F.exists("contig_lengths", lambda n: n > 0), F.lit(False)), joined("contig_lengths")),
+        "total_len": (F.coalesce(F.col("total_len") > 0, F.lit(False)), F.col("total_len")),
+        "n_contigs": (F.coalesce(F.col("n_contigs") > 0, F.lit(False)), F.col("n_contigs")),
     }
+    return elected_records(rows, ["accession", "contig_order"], "record_id", fields, F.col("trust"), F.col("sketched_at")).filter("n_records > 1")
 
 
 @query
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every record of a duplicate group with the record that is kept."""
     rows = _assemblies(spark, sf)
-    group = ["accession", "contig_order"]
-    kept = kept_records(rows, group, "record_id", list(_filled().values()), F.col("trust"), F.col("sketched_at"))
-    return rows.select(*group, "record_id").join(kept.filter("n_records > 1"), group).select("record_id", "keep_id")
+    return rows.select("accession", "contig_order", "record_id").join(_survivors(rows), ["accession", "contig_order"]).select("record_id", "keep_id")
 
 
 @query
 def p7_built(spark: SparkSession, sf: str) -> DataFrame:
     """One row per assembly and contig order: the kept record and the record built field by field."""
-    rows = Workspace(spark, "survivor").save(_assemblies(spark, sf))
-    group = ["accession", "contig_order"]
-    filled = _filled()
-    norm = {n: (F.lower(bare_name(n)) if n == "file_name" else F.to_json(n) if n in ("contigs", "contig_lengths") else F.col(n)) for n in filled}
-    built = built_records(rows, group, {n: (filled[n], norm[n]) for n in filled}, F.col("trust"), F.col("sketched_at"))
-    kept = kept_records(rows, group, "record_id", list(filled.values()), F.col("trust"), F.col("sketched_at"))
-    return kept.filter("n_records > 1").join(built, group, "left")
+    return _survivors(Workspace(spark, "survivor").save(_assemblies(spark, sf)))
 
 
 _ACC = r"(?:^|[^a-z0-9])([a-z]+)[^a-z0-9/]*0*([1-9][0-9]{2,}|0{3,})(?:v|[^a-z0-9/])0*([0-9]+)"
@@ -179,18 +176,35 @@ def _acc_sql(c: str) -> str:
     return f"(CASE WHEN regexp_matches({t}, '{_ACC}') THEN regexp_extract({t}, '{_ACC}', 1) || '_' || regexp_extract({t}, '{_ACC}', 2) || '.' || regexp_extract({t}, '{_ACC}', 3) END)"
 
 
-_STAND_SQL = "('', '-', '--', 'na', 'n/a', 'nan', 'nil', 'none', 'null', 'unknown', 'undefined', '?', '.')"
-ORACLE["p7_found"] = rf"""
-WITH g AS (SELECT record_id, contig_order, coalesce({_acc_sql('file_name')}, list_filter(list_transform(contigs, lambda h: {_acc_sql('h')}), lambda x: x IS NOT NULL)[1]) AS acc,
-  (file_name IS NOT NULL AND lower(regexp_replace(file_name, '^\s+|\s+$', '', 'g')) NOT IN {_STAND_SQL})::int + (coalesce(len(contigs), 0) > 0)::int
-  + coalesce(len(list_filter(contig_lengths, lambda n: n > 0)) > 0, false)::int + coalesce(total_len > 0, false)::int + coalesce(n_contigs > 0, false)::int AS filled,
-  coalesce((SELECT max(trust) FROM registries r WHERE lower(trim(r.source_db)) = lower(trim(genomes.source_db))), 0) AS trust, sketched_at FROM genomes)
-SELECT record_id, keep_id FROM (
-  SELECT record_id, first_value(record_id) OVER (PARTITION BY acc, contig_order ORDER BY filled DESC, trust DESC, sketched_at DESC NULLS LAST, record_id) AS keep_id,
-         count(*) OVER (PARTITION BY acc, contig_order) AS n FROM g WHERE acc IS NOT NULL AND contig_order IS NOT NULL)
-WHERE n > 1
+_STAND_SQL = "(" + ", ".join(f"'{x}'" for x in STAND_INS) + ")"
+_GENOMES_SQL = rf"""
+g AS (SELECT *, file_name IS NOT NULL AND lower(regexp_replace(file_name, '^\s+|\s+$', '', 'g')) NOT IN {_STAND_SQL} AS f1,
+  coalesce(len(list_filter(contigs, lambda h: h IS NOT NULL AND lower(regexp_replace(h, '^\s+|\s+$', '', 'g')) NOT IN {_STAND_SQL})) > 0, false) AS f2,
+  coalesce(len(list_filter(contig_lengths, lambda n: n > 0)) > 0, false) AS f3, coalesce(total_len > 0, false) AS f4, coalesce(n_contigs > 0, false) AS f5 FROM (
+  SELECT record_id, contig_order, file_name, contigs, contig_lengths, total_len, n_contigs, sketched_at,
+    coalesce({_acc_sql('file_name')}, list_filter(list_transform(contigs, lambda h: {_acc_sql('h')}), lambda x: x IS NOT NULL)[1]) AS accession,
+    coalesce((SELECT max(trust) FROM registries r WHERE lower(trim(r.source_db)) = lower(trim(genomes.source_db))), 0) AS trust FROM genomes)
+  WHERE accession IS NOT NULL),
+k AS (SELECT record_id, accession, contig_order, first_value(record_id) OVER (PARTITION BY accession, contig_order
+    ORDER BY f1::int + f2::int + f3::int + f4::int + f5::int DESC, trust DESC, sketched_at DESC NULLS LAST, record_id) AS keep_id, count(*) OVER (PARTITION BY accession, contig_order) AS n FROM g)
 """
+ORACLE["p7_found"] = f"WITH {_GENOMES_SQL} SELECT record_id, keep_id FROM k WHERE n > 1 AND contig_order IS NOT NULL"
+_BARE = r"regexp_replace(regexp_replace(file_name, '^\s+|\s+$', '', 'g'), '^(\./)+', '')"
+
+
+def _built_sql(field: str, filled: str, norm: str) -> str:
+    """The winning value of one field by windows instead of elections."""
+    return f"""{field}_w AS (SELECT accession, contig_order, {field}, row_number() OVER (PARTITION BY accession, contig_order ORDER BY score DESC, last DESC NULLS LAST, norm DESC, sketched_at DESC NULLS LAST, record_id) AS r FROM (
+  SELECT *, round(log2(sum(greatest(trust, 0.1) * pow(2.0, coalesce(date_diff('day', DATE '1970-01-01', sketched_at::DATE), -100000) / 180.0)) OVER same), 9) AS score, max(sketched_at) OVER same AS last
+  FROM (SELECT *, {norm} AS norm FROM g WHERE {filled}) WINDOW same AS (PARTITION BY accession, contig_order, norm)))"""
+
 
+_FIELDS_SQL = {"file_name": ("f1", f"lower({_BARE})"), "contigs": ("f2", "array_to_string(contigs, chr(31))"), "contig_lengths": ("f3", "array_to_string(contig_lengths, chr(31))"), "total_len": ("f4", "total_len::VARCHAR"), "n_contigs": ("f5", "n_contigs::VARCHAR")}
+ORACLE["p7_built"] = f"""
+WITH {_GENOMES_SQL}, {", ".join(_built_sql(n, *x) for n, x in _FIELDS_SQL.items())},
+d AS (SELECT DISTINCT accession, contig_order, keep_id, n AS n_records FROM k WHERE n > 1)
+SELECT d.*, {", ".join(_FIELDS_SQL)} FROM d
+""" + "\n".join(f"LEFT JOIN (SELECT accession AS a_{n}, contig_order AS o_{n}, {n} FROM {n}_w WHERE r = 1) ON a_{n} = d.accession AND o_{n} IS NOT DISTINCT FROM d.contig_order" for n in _FIELDS_SQL) + "\n"
 # 8 -- encoding with a public tokenizer
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm.setjoin import expand_pairs, set_classes, similar_sets
-from strandloom.llm.survivor import accession, accession_in, built_records, kept_records
+from strandloom.llm.survivor import accession, accession_in, elected_records
 from strandloom.llm.topk import threshold_topk
 from strandloom.llm.topn import banded_top_n
 
@@ -83,17 +83,32 @@ def test_accessions(spark):
     assert [r[0] for r in both.select(accession("f", "c")).collect()] == ["orb_123.4", None, "tms_1234.1"]
 
 
+def elected(df):
+    ok = [F.coalesce(F.col("name").isNotNull() & (F.col("name") != "NA"), F.lit(False)), F.coalesce(F.col("len") > 0, F.lit(False))]
+    return elected_records(df, ["acc", "ord"], "id", {"name": (ok[0], F.lower("name")), "len": (ok[1], F.col("len"))}, F.col("trust"), F.col("at"))
+
+
+RECORDS = "acc string, ord int, id long, name string, len long, trust int, at timestamp"
+
+
 def test_survivors(spark):
     d = lambda n: datetime(2026, 1, n)
-    rows = [("a", 0, 1, "x.fa", 10, 5, d(1)), ("a", 0, 2, "NA", 10, 9, d(9)), ("a", 0, 3, "y.fa", 12, 5, d(2)), ("a", 0, 4, "y.fa", 12, 5, d(2)), ("b", 0, 5, None, None, None, None), (None, 0, 6, "z", 1, 1, d(1)), ("a", 1, 7, "q.fa", 3, 1, d(3))]
-    df = spark.createDataFrame(rows, "acc string, ord int, id long, name string, len long, trust int, at timestamp").withColumn("vote", F.lit("clash")).withColumn("field", F.lit(1))
-    ok = [F.col("name").isNotNull() & (F.col("name") != "NA"), F.coalesce(F.col("len") > 0, F.lit(False))]
-    kept = {(r.acc, r.ord): (r.keep_id, r.n_records) for r in kept_records(df, ["acc", "ord"], "id", [F.coalesce(c, F.lit(False)) for c in ok], F.col("trust"), F.col("at")).collect()}
-    assert kept == {("a", 0): (3, 4), ("b", 0): (5, 1), ("a", 1): (7, 1)}  # 3 and 4 tie to the smaller id; 2 is more trusted but less filled
-    built = {(r.acc, r.ord): (r.name, r.len) for r in built_records(df, ["acc", "ord"], {"name": (ok[0], F.col("name")), "len": (ok[1], F.col("len"))}, F.col("trust"), F.col("at")).collect()}
-    assert built[("a", 0)] == ("y.fa", 10)  # 5 + 9 votes for 10 outweigh 5 + 5 for 12
-    assert built[("a", 1)] == ("q.fa", 3)
-    assert kept_records(df.limit(0), ["acc", "ord"], "id", ok, F.col("trust"), F.col("at")).count() == 0
+    rows = [("a", 0, 1, "x.fa", 10, 5, d(1)), ("a", 0, 2, "NA", 10, 9, d(9)), ("a", 0, 3, "y.fa", 12, 5, d(2)), ("a", 0, 4, "Y.fa", 12, 5, d(2)), ("b", 0, 5, None, None, None, None), ("b", 0, 9, None, 0, None, None), (None, 0, 6, "z", 1, 1, d(1)), ("a", 1, 7, "q.fa", 3, 1, d(3)), ("a", None, 8, "n.fa", 3, 1, d(3))]
+    df = spark.createDataFrame(rows + rows[:2], RECORDS).withColumn("vote", F.lit("clash")).withColumn("field", F.lit(1))
+    got = {(r.acc, r.ord): tuple(r)[2:] for r in elected(df).collect()}
+    # 3 and 4 tie to the smaller id, 2 is more trusted but less filled; 5 + 9 votes for a length of 10 outweigh 5 + 5 for 12
+    assert got == {("a", 0): (3, 4, "y.fa", 10), ("b", 0): (5, 2, None, None), ("a", 1): (7, 1, "q.fa", 3), ("a", None): (8, 1, "n.fa", 3)}
+    assert elected(df.limit(0)).count() == 0
+
+
+def test_votes_of_any_age(spark):
+    old, new, late = datetime(2005, 3, 1), datetime(2019, 1, 1), datetime(2041, 1, 1)
+    rows = [("dated", 0, 1, "x", 1, 5, None), ("dated", 0, 2, "y", 2, 5, new)]  # an undated value does not beat a dated one
+    rows += [("trust", 0, 3, "x", 1, 9, old), ("trust", 0, 4, "y", 2, 1, old)]  # votes of old values do not vanish
+    rows += [("late", 0, 5, "x", 1, 5, late), ("late", 0, 6, "y", 2, 5, new)]
+    rows += [("none", 0, 7, "x", 1, None, None), ("none", 0, 8, "y", 2, 3, None)]
+    got = {r.acc: (r.keep_id, r.name, r.len) for r in elected(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got == {"dated": (2, "y", 2), "trust": (3, "x", 1), "late": (5, "x", 1), "none": (8, "y", 2)}
 
 
 def test_accession_counts_digits_before_zeros_are_stripped(spark):
