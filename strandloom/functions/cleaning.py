@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 MARKER_BITS = 42
 MARKER_ROW = ["genome_id", "contig_index", "pos", "marker"]
 
-#: Texts that stand for a missing value (fixed values of the test data).
-STAND_INS = ["", "-", "--", "na", "n/a", "nan", "nil", "none", "null", "unknown", "undefined", "?", "."]
-
 
 def is_marker(c: str | Column) -> Column:
     """A marker is a whole number of at most 42 bits."""
@@ -30,12 +27,6 @@ def percent_at_least(c: str, least: float) -> Column:
     return usable(c) & F.when(x <= 1, x >= least / 100).otherwise(x >= least)
 
 
-def is_stand_in(c: str | Column) -> Column:
-    """Null, blank, or one of the texts written for a missing value."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.isNull() | F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")).isin(STAND_INS)
-
-
 def bare_name(c: str | Column) -> Column:
     """File name without white space around it and without leading ``./``."""
     c = F.col(c) if isinstance(c, str) else c

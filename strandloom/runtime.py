@@ -80,10 +80,12 @@ class Workspace:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The table as written; ``by``: a folder for each value of that column, so that a filter on it reads no other."""
         path = f"{self.root}/{self._n}"
         self._n += 1
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._strandloom_path = path
         return back
@@ -95,3 +97,8 @@ class Workspace:
             if path:
                 fs, p = self._hadoop(path)
                 fs.delete(p, True)
+
+    def close(self) -> None:
+        """Delete all tables, once nothing lazy reads them any more."""
+        fs, p = self._hadoop(self.root)
+        fs.delete(p, True)
