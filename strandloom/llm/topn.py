@@ -1,20 +1,24 @@
 """The N best items of every group by descending score bands.
 
-Scores are cut into bands at quantiles of the whole column. From the top band
-down, a group takes whole bands while they fit; once its places are taken
-it is struck from all lower bands (anti-join); only the band in which the places
-run out is ranked. A group with a million items therefore never sorts them all, and
-what is ranked goes through bounded shares of the group first.
+Scores are cut into bands at quantiles of the whole column, and the table is written
+band by band. From the top band down, the groups whose places are taken are struck
+from a band by an anti-join; of the rest, a group that still fits takes the whole
+band without any order. Only bands in which places run out are ranked, all of them
+in one range-partitioned sort over (group, score, item). So a group of a million
+items sorts none but its boundary band, and that in as many tasks as the sort has,
+also where all scores are equal or the limit is large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace
+from .ranking import null_safe, ranked
 
 
 def banded_top_n(
@@ -27,7 +31,6 @@ def banded_top_n(
     limit: str,
     *,
     bands: int = 8,
-    shares: int = 16,
 ) -> DataFrame:
     """``(*group, item, score)`` for the ``limit`` highest scores of each group.
 
@@ -41,49 +44,30 @@ def banded_top_n(
     keys = list(group)
     rows = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull())
     once = rows.groupBy(*keys, item).agg(F.max(score).alias("__s"))
-    lim = limits.select(*limit_on, F.col(limit).alias("__lim")).groupBy(*limit_on).agg(F.max("__lim").alias("__lim"))
-    cond = None
-    for c in limit_on:
-        lim = lim.withColumnRenamed(c, f"__l_{c}")
-        e = F.col(c).eqNullSafe(F.col(f"__l_{c}"))
-        cond = e if cond is None else cond & e
-    once = once.join(lim, cond, "left").drop(*[f"__l_{c}" for c in limit_on])
-    space = Workspace(df.sparkSession, "topn")
-    once = space.save(once)
-
+    lim = limits.select(*limit_on, F.col(limit).cast("long").alias("__lim")).groupBy(*limit_on).agg(F.max("__lim").alias("__lim"))
     # Band edges: quantiles over all scores, in bounded memory. Equal scores share a band.
-    edges = once.agg(F.percentile_approx("__s", F.array(*[F.lit(i / bands) for i in range(1, bands)]), 2000)).first()[0] or []
+    edges = rows.agg(F.percentile_approx(score, F.array(*[F.lit(i / bands) for i in range(1, bands)]), 2000)).first()[0] or []
     edges = sorted(set(edges))
-    band = F.lit(0)
-    for e in edges:
-        band = band + (F.col("__s") >= F.lit(float(e))).cast("int")
-    banded = once.withColumn("__band", band)
+    band = reduce(lambda b, e: b + (F.col("__s") >= F.lit(float(e))).cast("int"), edges, F.lit(0))
+    space = Workspace(df.sparkSession, "topn")
+    banded = space.save(null_safe(once, lim, limit_on, "left").withColumn("__band", band), by="__band")
 
     free = banded.filter(F.col("__lim").isNull()).select(*keys, item, "__s")
     held = banded.filter(F.col("__lim").isNotNull())
-    # From the top band down: the places taken above each band. At most `bands` rows a group.
-    sizes = held.groupBy(*keys, "__band").agg(F.count(F.lit(1)).alias("__n"), F.first("__lim").alias("__lim"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__left", F.col("__lim") - F.coalesce(F.sum("__n").over(above), F.lit(0)))
-    filled = F.col("__left") <= 0
-    state = sizes.filter(~filled).select(*keys, "__band", "__left", (F.col("__n") <= F.col("__left")).alias("__whole"))
-    # Groups already filled above a band have no row in `state` for it: their items drop out here.
-    live = space.save(_null_safe(held.drop("__lim"), state, [*keys, "__band"], "inner"))
-    whole = live.filter("__whole").select(*keys, item, "__s")
-    # The band in which the places run out is ranked exactly: first within shares of a group, then the group.
-    part = Window.partitionBy(*keys, "__share").orderBy(F.desc("__s"), item)
-    ranked = live.filter(~F.col("__whole")).withColumn("__share", F.pmod(F.xxhash64(item), F.lit(shares)))
-    ranked = ranked.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= F.col("__left"))
-    group_order = Window.partitionBy(*keys).orderBy(F.desc("__s"), item)
-    ranked = ranked.withColumn("__r", F.row_number().over(group_order)).filter(F.col("__r") <= F.col("__left"))
-    return free.unionByName(whole).unionByName(ranked.select(*keys, item, "__s")).withColumnRenamed("__s", score)
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    cond = None
-    for c in keys:
-        right = right.withColumnRenamed(c, f"__k_{c}")
-        e = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        cond = e if cond is None else cond & e
-    out = left.join(right, cond, how)
-    return out if how in ("left_anti", "left_semi") else out.drop(*[f"__k_{c}" for c in keys])
+    sizes: list[DataFrame] = []
+    whole, boundary = [], []
+    for b in range(len(edges), -1, -1):
+        here = held.filter(F.col("__band") == b)
+        if sizes:
+            taken = reduce(DataFrame.unionByName, sizes).groupBy(*keys).agg(F.sum("__n").alias("__taken"), F.max("__lim").alias("__of"))
+            here = null_safe(here, taken.filter("__taken >= __of").select(*keys), keys, "left_anti")
+        size = here.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("__lim").alias("__lim"))
+        size = null_safe(size, taken.select(*keys, "__taken"), keys, "left") if sizes else size.withColumn("__taken", F.lit(0).cast("long"))
+        size = space.save(size.withColumn("__left", F.col("__lim") - F.coalesce("__taken", F.lit(0))).drop("__taken"))
+        sizes.append(size)
+        # A group already filled has no row in `size`: its items of this band drop out here.
+        here = null_safe(held.filter(F.col("__band") == b).select(*keys, item, "__s"), size.filter("__left > 0").drop("__lim"), keys, "inner")
+        whole.append(here.filter("__n <= __left").select(*keys, item, "__s"))
+        boundary.append(here.filter("__n > __left").select(*keys, item, "__s", "__left"))
+    cut = ranked(reduce(DataFrame.unionByName, boundary), keys, [F.desc("__s"), F.col(item)], space).filter("__pos < __left").select(*keys, item, "__s")
+    return reduce(DataFrame.unionByName, [free, *whole, cut]).withColumnRenamed("__s", score)

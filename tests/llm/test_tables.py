@@ -8,10 +8,12 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm.ranking import ranked
 from strandloom.llm.setjoin import expand_pairs, set_classes, similar_sets
 from strandloom.llm.survivor import accession, accession_in, elected_records
 from strandloom.llm.topk import threshold_topk
 from strandloom.llm.topn import banded_top_n
+from strandloom.runtime import Workspace
 
 
 def test_topk(spark):
@@ -53,6 +55,25 @@ def test_topn(spark):
     assert banded_top_n(df.limit(0), ["run", "q"], "ref", "ani", limits, ["run"], "lim").count() == 0
 
 
+def test_topn_of_equal_scores(spark):
+    # one group holds nearly all rows, all of one score, and its limit is large: the smallest items by code point stay
+    df = spark.range(60_000).select(F.lit(1).alias("run"), F.lit(None).cast("string").alias("q"), F.format_string("r%06d", F.pmod(F.col("id") * 7919, F.lit(60_000))).alias("ref"), F.lit(5.0).alias("ani"))
+    df = df.unionByName(spark.createDataFrame([(2, "q", "x", 5.0), (2, "q", "y", 6.0)], "run int, q string, ref string, ani double"))
+    limits = spark.createDataFrame([(1, 25_000), (2, 1)], "run int, lim long")
+    top = banded_top_n(df, ["run", "q"], "ref", "ani", limits, ["run"], "lim")
+    got = {r.run: (r.n, r.a, r.b) for r in top.groupBy("run").agg(F.count_distinct("ref").alias("n"), F.min("ref").alias("a"), F.max("ref").alias("b")).collect()}
+    assert got == {1: (25_000, "r000000", "r024999"), 2: (1, "y", "y")}
+
+
+def test_places_spread_a_hot_group(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.pmod(F.col("id") * 31, F.lit(20_000)).alias("v")).unionByName(spark.createDataFrame([(None, 5), (None, 3), ("z", 1)], "k string, v long"))
+    out = ranked(df, ["k"], [F.desc("v")], Workspace(spark, "t"))
+    assert out.filter("k = 'hot' AND __pos <> 19999 - v").isEmpty() and out.filter("k = 'hot'").count() == 20_000
+    assert sorted((r.k or "", r.v, r["__pos"]) for r in out.filter("k IS NULL OR k = 'z'").collect()) == [("", 3, 1), ("", 5, 0), ("z", 1, 0)]
+    sizes = [r.n for r in df.repartitionByRange(4, F.col("k").asc_nulls_first(), F.desc("v")).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 0.5 * 20_003
+
+
 @pytest.mark.parametrize("t", ["0.6", "0.8", "0.34"])
 def test_set_join(spark, t):
     rnd = random.Random(int(t[2:]))
