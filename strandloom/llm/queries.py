@@ -229,23 +229,53 @@ ORACLE["p8_decoded"] = "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_t
 # 9 -- filling containers
 
 
-def _packed(spark: SparkSession, sf: str) -> DataFrame:
+def _packed(spark: SparkSession, sf: str, **limits) -> DataFrame:
     sizes = encode_corpus(read_table(spark, sf, "documents"), "doc_id", "text", count_only=True)
+    sizes = sizes.withColumn("answer", F.col("n_tokens") - F.floor(F.col("n_tokens") / 4))
     capacities = [r[0] for r in read_table(spark, sf, "containers").select("capacity_tokens").collect()]  # a fixed table
-    return pack(sizes, "doc_id", "n_tokens", capacities)
+    return pack(sizes, "doc_id", "n_tokens", capacities, **limits)
+
+
+#: Limits of instruction data under which every one of the three can be the one that binds: the first quarter of a text is its prompt.
+INSTRUCTION = {"loss": "answer", "loss_share": 0.7, "tokens_per_segment": 128}
 
 
 @query
 def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
     """Every text, sized in tokens of byte_bpe_50k, placed in containers of each capacity."""
-    return _packed(spark, sf)
+    return _packed(spark, sf).drop("n_loss")
+
+
+@query
+def p9_instruction(spark: SparkSession, sf: str) -> DataFrame:
+    """The same under limits on segments and loss-bearing tokens that bind."""
+    return _packed(spark, sf, **INSTRUCTION)
+
+
+def _used(packed: DataFrame) -> DataFrame:
+    return packed.filter("container_id IS NOT NULL").groupBy("capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.sum("n_loss").alias("loss"), F.count(F.lit(1)).alias("segments"))
 
 
 @query
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Containers of each capacity and the share of their room that is used."""
-    used = _packed(spark, sf).filter("container_id IS NOT NULL").groupBy("capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("segments"))
-    return used.groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("fill"))
+    return _used(_packed(spark, sf)).groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("fill"))
+
+
+@query
+def p9_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each capacity, texts placed, containers beyond a limit, texts split without need, and texts of which tokens are missing."""
+    packed = Workspace(spark, "packed").save(_packed(spark, sf, **INSTRUCTION))
+    cap = F.col("capacity_tokens")
+    over = (F.col("used") > cap) | (F.col("segments") > 1) & ((F.col("segments") > F.floor(cap / 128)) | (F.col("loss") > F.floor(cap * 0.7)))
+    containers = _used(packed).groupBy(cap).agg(F.count_if(over).alias("over"))
+    texts = packed.groupBy(cap, "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"))
+    sizes = encode_corpus(read_table(spark, sf, "documents"), "doc_id", "text", count_only=True)
+    texts = texts.join(sizes, "doc_id", "full").groupBy(cap).agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= cap)).alias("split"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens"))).alias("not_whole"))
+    return texts.join(containers, "capacity_tokens").select(cap, "texts", "over", "split", "not_whole")
+
+
+ORACLE["p9_valid"] = "SELECT DISTINCT capacity_tokens, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS over, 0::BIGINT AS split, 0::BIGINT AS not_whole FROM containers"
 
 # 1 -- clusters of mutually similar records
 

@@ -49,6 +49,23 @@ def test_packing(spark):
     assert pack(df.limit(0), "doc", "n", [256]).count() == 0 and pack(df, "doc", "n", []).count() == 0
 
 
+@pytest.mark.parametrize("limits,binds", [({"tokens_per_segment": 64}, 1), ({"loss": "answer", "loss_share": 0.3}, 2), ({"tokens_per_segment": 1}, 0)])
+def test_every_limit_can_bind(spark, limits, binds):
+    rnd = random.Random(2)
+    rows = [(i, n, rnd.randint(0, n)) for i in range(800) for n in [rnd.randint(1, 60)]] + [(900, 250, 250), (901, 700, 650), (902, 10, None), (903, 10, 99)]
+    df = spark.createDataFrame(rows, "doc long, n long, answer long").withColumn("loss", F.lit("clash"))
+    out = pack(df, "doc", "n", [256], **limits).toPandas()
+    used = out.groupby("container_id").agg(t=("n_tokens", "sum"), s=("n_tokens", "size"), l=("n_loss", "sum"))
+    most = np.array([256, 256 // limits.get("tokens_per_segment", 16), int(256 * limits.get("loss_share", 1.0))])
+    several = used[used.s > 1]
+    assert (several.to_numpy() <= most).all() and used.t.max() <= 256
+    # most containers are full in the dimension that binds, and not in tokens unless these are it
+    share = (several.to_numpy() / most).mean(axis=0)
+    assert share.argmax() == binds and share[binds] > 0.9
+    want = {i: min(max(a or 0, 0), n) for i, n, a in rows} if "loss" in limits else {i: n - 1 for i, n, _ in rows}
+    assert out.groupby("doc").n_loss.sum().to_dict() == want
+
+
 def test_dot_product_respects_every_limit():
     items = np.random.default_rng(0).integers(1, 60, (500, 3))
     limits = np.array([100, 90, 80])
