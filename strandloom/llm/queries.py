@@ -315,4 +315,4 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Ends of sentences, headlines, advert titles and stamps of every page."""
-    return sentence_ends(read_table(spark, sf, "documents"), "doc_id", "text", "lines", "page_w")
+    return sentence_ends(read_table(spark, sf, "documents"), "doc_id", "text", "lines", "page_w", "lang")

@@ -55,7 +55,6 @@ def banded_top_n(
     free = banded.filter(F.col("__lim").isNull()).select(*keys, item, "__s")
     held = banded.filter(F.col("__lim").isNotNull())
     sizes: list[DataFrame] = []
-    whole, boundary = [], []
     for b in range(len(edges), -1, -1):
         here = held.filter(F.col("__band") == b)
         if sizes:
@@ -65,9 +64,9 @@ def banded_top_n(
         size = null_safe(size, taken.select(*keys, "__taken"), keys, "left") if sizes else size.withColumn("__taken", F.lit(0).cast("long"))
         size = space.save(size.withColumn("__left", F.col("__lim") - F.coalesce("__taken", F.lit(0))).drop("__taken"))
         sizes.append(size)
-        # A group already filled has no row in `size`: its items of this band drop out here.
-        here = null_safe(held.filter(F.col("__band") == b).select(*keys, item, "__s"), size.filter("__left > 0").drop("__lim"), keys, "inner")
-        whole.append(here.filter("__n <= __left").select(*keys, item, "__s"))
-        boundary.append(here.filter("__n > __left").select(*keys, item, "__s", "__left"))
-    cut = ranked(reduce(DataFrame.unionByName, boundary), keys, [F.desc("__s"), F.col(item)], space).filter("__pos < __left").select(*keys, item, "__s")
-    return reduce(DataFrame.unionByName, [free, *whole, cut]).withColumnRenamed("__s", score)
+    # A group that was filled above a band has no row for it in `sizes`: its items of that band drop out here.
+    places = reduce(DataFrame.unionByName, [s.withColumn("__band", F.lit(b)) for b, s in zip(range(len(edges), -1, -1), sizes)]).filter("__left > 0")
+    live = space.save(null_safe(held.drop("__lim"), places.drop("__lim"), [*keys, "__band"], "inner"))
+    whole = live.filter("__n <= __left").select(*keys, item, "__s")
+    cut = ranked(live.filter("__n > __left").select(*keys, item, "__s", "__left"), keys, [F.desc("__s"), F.col(item)], space).filter("__pos < __left").select(*keys, item, "__s")
+    return reduce(DataFrame.unionByName, [free, whole, cut]).withColumnRenamed("__s", score)

@@ -73,9 +73,9 @@ def test_dot_product_respects_every_limit():
     assert (bins >= 0).all() and (pd.DataFrame(items).groupby(bins).sum().to_numpy() <= limits).all()
 
 
-def units(text, boxes=None, width=2000):
+def units(text, boxes=None, width=2000, lang=None):
     cols = [np.array(c, float) for c in zip(*boxes)] if boxes else [None] * 3
-    ends = page_units(text, *cols, width)
+    ends = page_units(text, *cols, width, lang)
     out, start = [], 0
     for e in ends:
         out.append(text[start : e + 1].strip())
@@ -115,6 +115,46 @@ def test_rules(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize(
+    "lang,text,want",
+    [
+        ("en", "He studies art. She left at once.", ["He studies art.", "She left at once."]),
+        ("fr", "Voir art. Brun au code. Fin.", ["Voir art. Brun au code.", "Fin."]),
+        ("en-GB", "It was 5 m. She left.", ["It was 5 m.", "She left."]),
+        ("it", "Si misura in m. Poi basta.", ["Si misura in m.", "Poi basta."]),
+        ("eng", "The U.S. Senate met. All of it in the U.S. The rest left.", ["The U.S. Senate met.", "All of it in the U.S.", "The rest left."]),
+        ("EN", "Gen. Lee and Lt. Col. Hay came Jan. 5 at last. End.", ["Gen. Lee and Lt. Col. Hay came Jan. 5 at last.", "End."]),
+        ("de", "Er kam Nr. Sieben. Es ist zu spät, z. B. Heute.", ["Er kam Nr. Sieben.", "Es ist zu spät, z. B. Heute."]),
+        ("de", "Er sagte: The price of the land and Mrs. Dent were there. Ende.", ["Er sagte: The price of the land and Mrs. Dent were there.", "Ende."]),
+        (None, "Mr. Dent was in the house. La rue et Mme. Brun. Fin.", ["Mr. Dent was in the house.", "La rue et Mme. Brun.", "Fin."]),
+        ("hy", "Սա առաջինն է։ Սա երկրորդն է։", ["Սա առաջինն է։", "Սա երկրորդն է։"]),
+        ("am", "ይህ አንድ ነው። ይህ ሁለት ነው።", ["ይህ አንድ ነው።", "ይህ ሁለት ነው።"]),
+        ("km", "នេះមួយ។ នេះពីរ។", ["នេះមួយ។", "នេះពីរ។"]),
+        ("my", "ဒါက တစ်။ ဒါက နှစ်။", ["ဒါက တစ်။", "ဒါက နှစ်။"]),
+        ("bo", "འདི་གཅིག། འདི་གཉིས།", ["འདི་གཅིག།", "འདི་གཉིས།"]),
+        ("ja", "一つ．二つ。", ["一つ．", "二つ。"]),
+    ],
+)
+def test_languages_and_scripts(lang, text, want):
+    assert units(text, lang=lang) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.3, 2.5])
+def test_columns_on_pages_of_any_size(scale):
+    # three columns; the sentence of the first goes on in the second, the third has a headline of its own
+    text = "One starts\nand goes on\nto here. Two\nends.\nTHE HEAD\nThree is apart."
+    boxes = [(80, 0, 30), (80, 40, 70), (700, 0, 30), (700, 40, 70), (1350, 0, 60), (1350, 70, 100)]
+    boxes = [tuple(v * scale for v in b) for b in boxes]
+    assert units(text, boxes, 2000 * scale) == ["One starts\nand goes on\nto here.", "Two\nends.", "THE HEAD", "Three is apart."]
+
+
+def test_second_column_without_capitals():
+    text = "第一句。第二句\n還沒有完。\n第三句。"
+    assert units(text, [(80, 0, 30), (1000, 0, 30), (1000, 40, 70)], lang="zh") == ["第一句。", "第二句\n還沒有完。", "第三句。"]
+    text = "第一句。第二句\n大標題\n第三句。"
+    assert units(text, [(80, 0, 30), (1000, 0, 60), (1000, 70, 100)], lang="zh") == ["第一句。", "第二句", "大標題", "第三句。"]
+
+
 def test_reading_order():
     # two columns side by side, a headline over each, an advert inside the left one
     text = "LEFT HEAD\nRIGHT HEAD\nIt goes on\nOther text.\nBUY SOAP\nGood soap. Cheap\nsoap!\n----\nafter the advert. End.\n"
@@ -127,7 +167,7 @@ def test_reading_order():
 def test_long_text_and_table(spark):
     long = "Word here now. " * 40_000
     b = "array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
-    df = spark.createDataFrame([(1, long, None, 2000), (2, None, None, None), (3, "One. Two", [(None, 1, 2, 3, None)], 10), (3, "One. Two", [], None)], f"doc_id long, text string, lines {b}, page_w int").withColumn("end_pos", F.lit("clash"))
-    got = sentence_ends(df, "doc_id", "text", "lines", "page_w")
+    df = spark.createDataFrame([(1, long, None, 2000), (2, None, None, None), (3, "One. Two", [(None, 1, 2, 3, None)], 10), (3, "One. Two", [], None)], f"doc_id long, text string, lines {b}, page_w int").withColumn("lang", F.lit(None).cast("string")).withColumn("end_pos", F.lit("clash"))
+    got = sentence_ends(df, "doc_id", "text", "lines", "page_w", "lang")
     assert got.filter("doc_id = 1").count() == 40_000 and sorted(tuple(r) for r in got.filter("doc_id = 3").collect()) == [(3, 3), (3, 3), (3, 7), (3, 7)]
-    assert got.filter("doc_id = 2").count() == 0 and sentence_ends(df.limit(0), "doc_id", "text", "lines", "page_w").count() == 0
+    assert got.filter("doc_id = 2").count() == 0 and sentence_ends(df.limit(0), "doc_id", "text", "lines", "page_w", "lang").count() == 0
