@@ -1,4 +1,4 @@
-"""All pairs of records whose sets overlap enough, by pigeonhole partitioning.
+"""All pairs of records whose sets of values overlap enough, by pigeonhole partitioning.
 
 If the Jaccard similarity of R and S is at least t, they differ in at most
 H = (1-t)/(1+t) * (|R|+|S|) values. The universe of values is split into segments
@@ -7,11 +7,13 @@ budget b: 0 leaves it out, 1 asks for the same content, 2 also for one deletion
 either side. If the budgets sum to H+1, one segment must match within its budget,
 so an equi-join on segment signatures finds every pair. S spends its budgets on the
 segments with the rarest expected content; each very frequent value is a segment
-of its own and comes last. Where crowded segments leave the budgets short, every
-value is a segment of its own. Candidates are verified on the whole sets.
+of its own and comes last. Where crowded segments leave the budgets of some set
+short, every value of the sets in that length group is a segment of its own as well.
 
-Contents are hashed by a sum of mixed values, so a deletion is a subtraction and
-all signatures of an Arrow batch are computed with numpy.
+Only (signature, record) travels; what is matched is looked up in a table of sizes
+and bitmaps, and what passes that is verified on the whole sets. Contents are hashed
+by a sum of mixed values, so a deletion is a subtraction and all signatures of an
+Arrow batch are computed with numpy.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 
-SIGNATURES = "key long, cid long, size int, bits_a long, bits_b long"
+SIGNATURES = "key long, cid long"
+SIZES = "cid long, size int, bits_a long, bits_b long"
 #: The most frequent values that become segments of their own: at most this many, each in more sets than the second number.
 HOT_VALUES, HOT_SETS = 4096, 64
 
 
 def length_groups(longest: int) -> np.ndarray:
-    """Upper bounds of the length groups: each about a seventh wider than the one before."""
+    """Upper bounds of the length groups: each about half wider than the one before."""
     out, hi = [], 0
     while hi < longest:
         lo = hi + 1
-        hi = max(lo, lo + lo // 7)
+        hi = lo + lo // 2
         out.append(hi)
     return np.array(out or [1], dtype=np.int64)
 
@@ -49,56 +52,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _columns(batch: pa.RecordBatch):
+    """Record ids, sizes of their sets, and per value its record's number, the value and its mix."""
+    cid = batch.column(0).to_numpy(zero_copy_only=False)
+    lists = batch.column(1)
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return cid, size, np.repeat(np.arange(len(size)), size), value, _mix(value)
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for at in range(0, b.num_rows, 2000):
+            yield b.slice(at, 2000)
+
+
+def _sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``SIZES``: size and a bitmap of 128 bits of every set."""
+    for batch in _slices(it):
+        with np.errstate(over="ignore"):
+            cid, size, rec, _, mixed = _columns(batch)
+        bit = (mixed >> np.uint64(40)) & np.uint64(127)
+        bits = [np.zeros(len(size), np.uint64) for _ in range(2)]
+        for half in range(2):
+            on = (bit >> np.uint64(6)) == half
+            np.bitwise_or.at(bits[half], rec[on], np.uint64(1) << (bit[on] & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cid, size.astype(np.int32), bits[0].view(np.int64), bits[1].view(np.int64))], names=["cid", "size", "bits_a", "bits_b"])
+
+
 class Signer:
     """Signatures of a batch of sets for one threshold."""
 
     def __init__(self, t: Fraction, highs: np.ndarray, hot: np.ndarray, hot_sets: np.ndarray):
         self.num, self.den = t.numerator, t.denominator
         self.highs, self.hot, self.hot_sets = highs, hot, hot_sets
-        self.segments = np.maximum(1, (3 * (self.most_differing(highs, highs) + 1) + 3) // 4)
+        self.segments = (5 * (self.most_differing(highs, highs) + 1) + 3) // 4
+        self.singles = np.zeros(len(highs), bool)  # groups in which every value is a segment too
 
     def most_differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((self.den - self.num) * (a + b)) // (self.den + self.num)
 
-    def batches(self, it: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for b in it:
-                for at in range(0, b.num_rows, 2000):
-                    yield self.sign(b.slice(at, 2000), probe)
-
-    def sign(self, batch: pa.RecordBatch, probe: bool) -> pa.RecordBatch:
-        cid = batch.column(0).to_numpy(zero_copy_only=False)
-        lists = batch.column(1)
-        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        rec = np.repeat(np.arange(len(size)), size)
-        mixed = _mix(value)
-        bit = (mixed >> np.uint64(40)) & np.uint64(127)
-        bits = [np.zeros(len(size), np.uint64) for _ in range(2)]
-        for half in range(2):
-            on = (bit >> np.uint64(6)) == half
-            np.bitwise_or.at(bits[half], rec[on], np.uint64(1) << (bit[on] & np.uint64(63)))
+    def _hot(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.hot, value)
-        is_hot = (at < len(self.hot)) & (self.hot[np.minimum(at, len(self.hot) - 1)] == value) if len(self.hot) else np.zeros(len(value), bool)
+        return (at < len(self.hot)) & (self.hot[np.minimum(at, len(self.hot) - 1)] == value) if len(self.hot) else np.zeros(len(value), bool), at
+
+    def _groups(self, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For the own length group and those below it that may hold partners: its number, and for which sets it may."""
         own = np.searchsorted(self.highs, size)
-        keys, recs = [], []
-        if probe:
-            least = -((-size * self.num) // self.den)  # shortest partner
-            j = 0
-            while True:
-                g = own - j
-                ok = (g >= 0) & (self.highs[np.maximum(g, 0)] >= least)
-                if not ok.any():
-                    break
-                k, r = self._probe(np.maximum(g, 0), ok, size, rec, mixed, is_hot, at)
-                keys.append(k)
-                recs.append(r)
-                j += 1
-        else:
-            keys, recs = map(list, zip(self._index(own, rec, mixed, is_hot)))
-        key, r = np.concatenate(keys), np.concatenate(recs)
-        cols = [key.view(np.int64), cid[r], size[r].astype(np.int32), bits[0].view(np.int64)[r], bits[1].view(np.int64)[r]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "cid", "size", "bits_a", "bits_b"])
+        least = -((-size * self.num) // self.den)  # shortest partner
+        for j in range(len(self.highs)):
+            g = own - j
+            ok = (g >= 0) & (self.highs[np.maximum(g, 0)] >= least)
+            if not ok.any():
+                break
+            yield np.maximum(g, 0), ok
+
+    def index(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(it):
+            with np.errstate(over="ignore"):
+                cid, size, rec, value, mixed = _columns(batch)
+                yield self._out(cid, *self._index(np.searchsorted(self.highs, size), rec, mixed, self._hot(value)[0]))
+
+    def probe(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(it):
+            with np.errstate(over="ignore"):
+                cid, size, rec, value, mixed = _columns(batch)
+                for g, ok in self._groups(size):
+                    keys, recs, _ = self._probe(g, ok, size, rec, mixed, *self._hot(value))
+                    yield self._out(cid, keys, recs)
+
+    def short(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers of the length groups for which the budgets of some set fall short."""
+        found: set[int] = set()
+        for batch in _slices(it):
+            with np.errstate(over="ignore"):
+                _, size, rec, value, mixed = _columns(batch)
+                for g, ok in self._groups(size):
+                    found.update(g[self._probe(g, ok, size, rec, mixed, *self._hot(value), count=True)[2]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["g"])
+
+    @staticmethod
+    def _out(cid: np.ndarray, key: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid[rec])], names=["key", "cid"])
 
     def _cells(self, g, rec, mixed, cold):
         """Cold values by (record, segment): order, start of each cell, and per cell record, segment, values, content."""
@@ -121,34 +156,38 @@ class Signer:
     def _index(self, g, rec, mixed, is_hot):
         m, cell, crec, cseg, n, content = self._cells(g, rec, mixed, ~is_hot)
         full = self._key(g[crec], cseg, content, False)
-        some = n[cell] >= 2
+        some = n[cell] >= 3  # budgets of 2 are spent on contents of two values or more
         c = cell[some]
         dele = self._key(g[crec[c]], cseg[c], content[c] - m[some], True)
-        return np.concatenate([full, dele, self._single(g, rec, mixed)]), np.concatenate([crec, crec[c], rec])
+        own = is_hot | self.singles[g[rec]]
+        return np.concatenate([full, dele, self._single(g, rec[own], mixed[own])]), np.concatenate([crec, crec[c], rec[own]])
 
     def _single(self, g, rec, mixed) -> np.ndarray:
         """Each value as a segment of its own."""
         return self._key(g[rec], np.full(len(rec), (1 << 31) - 1), mixed, False)
 
-    def _probe(self, g, ok, size, rec, mixed, is_hot, at):
+    def _probe(self, g, ok, size, rec, mixed, is_hot, at, count: bool = False):
+        """``(keys, records, short)`` of sets against one length group; ``count``: only which sets fall short."""
         need = self.most_differing(size, np.minimum(self.highs[g], size)) + 1
         use = ok[rec]
         m, cell, crec, cseg, n, content = self._cells(g, rec, mixed, use & ~is_hot)
         two = np.flatnonzero(n >= 2)
         h = np.flatnonzero(use & is_hot)
-        # Units of budget, cheapest first: content of three or more, its deletions, pairs, single values, deletions of pairs, frequent values.
+        # Units of budget, cheapest first: contents of three values or more, pairs, single values, one deletion of the larger and of pairs, frequent values.
         unit_rec = np.concatenate([crec, crec[two], rec[h]])
-        cost = np.concatenate([np.where(n >= 3, 0.0, np.where(n == 2, 2.0, 3.0)), np.where(n[two] >= 3, 1.0, 4.0), 5.0 + self.hot_sets[at[h]].astype(float)]) if len(h) else np.concatenate([np.where(n >= 3, 0.0, np.where(n == 2, 2.0, 3.0)), np.where(n[two] >= 3, 1.0, 4.0)])
+        short = ok & (np.bincount(unit_rec, minlength=len(size)) < need)
+        if count:
+            return None, None, short
+        frequent = 5.0 + self.hot_sets[at[h]] if len(h) else np.zeros(0)
+        cost = np.concatenate([np.where(n >= 3, 0.0, np.where(n == 2, 1.0, 2.0)), np.where(n[two] >= 3, 3.0, 4.0), frequent])
         order = np.lexsort((cost, unit_rec))
         sr = unit_rec[order]
-        first = np.searchsorted(sr, sr, "left")
         chosen = np.zeros(len(order), bool)
-        chosen[order] = np.arange(len(order)) - first < need[sr]
+        chosen[order] = np.arange(len(order)) - np.searchsorted(sr, sr, "left") < need[sr]
         nc = len(crec)
         full, near, hot = np.flatnonzero(chosen[:nc]), two[chosen[nc : nc + len(two)]], h[chosen[nc + len(two) :]]
         # Values crowded into few segments can leave the budgets short: then the finest partition,
         # of which as many values suffice as S can lack and still be similar.
-        short = ok & (np.bincount(unit_rec, minlength=len(size)) < need)
         if short.any():
             full, near, hot = full[~short[crec[full]]], near[~short[crec[near]]], hot[~short[rec[hot]]]
             v = np.flatnonzero(short[rec])
@@ -167,7 +206,7 @@ class Signer:
             self._key(g[crec[c]], cseg[c], content[c] - m[some], False),  # the partner has one value less
             self._single(g, rec[hot], mixed[hot]),
         ]
-        return np.concatenate(keys), np.concatenate([crec[full], crec[near], crec[c], rec[hot]])
+        return np.concatenate(keys), np.concatenate([crec[full], crec[near], crec[c], rec[hot]]), short
 
 
 def set_classes(df: DataFrame, id: str, values: str, where=None) -> tuple[DataFrame, DataFrame]:
@@ -178,8 +217,10 @@ def set_classes(df: DataFrame, id: str, values: str, where=None) -> tuple[DataFr
     keep = (lambda v: v.isNotNull()) if where is None else (lambda v: v.isNotNull() & where(v))
     clean: Column = F.array_sort(F.array_distinct(F.filter(F.col(values).cast("array<bigint>"), keep)))
     sets = df.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), clean.alias("values")).filter(F.size("values") > 0)
-    classes = sets.groupBy("values").agg(F.min("id").alias("rep")).select("rep", "values")
-    return sets.join(classes, "values").select("id", "rep").distinct(), classes
+    classes = Workspace(df.sparkSession, "classes").save(sets.groupBy("values").agg(F.min("id").alias("rep")).select("rep", "values"))
+    # Records find their class by 128 bits of hash, so their values travel once only.
+    mark = [F.xxhash64("values").alias("h1"), F.xxhash64(F.lit(1), F.reverse("values")).alias("h2")]
+    return sets.select("id", *mark).join(classes.select("rep", *mark), ["h1", "h2"]).select("id", "rep").distinct(), classes
 
 
 def similar_sets(classes: DataFrame, threshold: str | Fraction) -> DataFrame:
@@ -193,22 +234,26 @@ def similar_sets(classes: DataFrame, threshold: str | Fraction) -> DataFrame:
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = classes.sparkSession
-    classes = Workspace(spark, "sets").save(classes.select(F.col("rep").alias("cid"), "values"))
-    longest = classes.agg(F.max(F.size("values"))).first()[0] or 1
+    space = Workspace(spark, "sets")
+    classes = classes.select(F.col("rep").alias("cid"), "values")
+    sizes = space.save(classes.mapInArrow(_sizes, SIZES))
+    longest = sizes.agg(F.max("size")).first()[0] or 1
     counts = classes.select(F.explode("values").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     hot = sorted((r[0], r[1]) for r in counts.filter(F.col("n") > HOT_SETS).orderBy(F.desc("n"), "v").limit(HOT_VALUES).collect())
     signer = Signer(t, length_groups(longest), np.array([v for v, _ in hot], np.int64), np.array([n for _, n in hot], np.int64))
+    short = [r[0] for r in classes.mapInArrow(signer.short, "g int").distinct().collect()]  # at most one row a length group
+    signer.singles[short] = True
 
-    index = classes.mapInArrow(lambda it: signer.batches(it, False), SIGNATURES)
-    probes = classes.mapInArrow(lambda it: signer.batches(it, True), SIGNATURES)
+    index, probes = classes.mapInArrow(signer.index, SIGNATURES), classes.mapInArrow(signer.probe, SIGNATURES)
     r, s = index.alias("r"), probes.alias("s")
     num, den = t.numerator, t.denominator
-    order = (F.col("r.size") < F.col("s.size")) | ((F.col("r.size") == F.col("s.size")) & (F.col("r.cid") < F.col("s.cid")))
-    fits = (F.col("r.size") * den >= F.col("s.size") * num) & order
+    found = r.join(s, F.col("r.key") == F.col("s.key")).filter("r.cid <> s.cid").select(F.least("r.cid", "s.cid").alias("rep_a"), F.greatest("r.cid", "s.cid").alias("rep_b")).distinct()
+    a, b = (sizes.select(F.col("cid").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "bits_a", "bits_b")]) for x in "ab")
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     # Differing bits of two 128-bit maps never exceed the differing values.
-    apart = F.bit_count(F.col("r.bits_a").bitwiseXOR(F.col("s.bits_a"))) + F.bit_count(F.col("r.bits_b").bitwiseXOR(F.col("s.bits_b")))
-    near = apart * (den + num) <= (F.col("r.size") + F.col("s.size")) * (den - num)
-    pairs = r.join(s, F.col("r.key") == F.col("s.key")).filter(fits & near).select(F.least("r.cid", "s.cid").alias("rep_a"), F.greatest("r.cid", "s.cid").alias("rep_b")).distinct()
+    apart = F.bit_count(F.col("bits_a_a").bitwiseXOR(F.col("bits_a_b"))) + F.bit_count(F.col("bits_b_a").bitwiseXOR(F.col("bits_b_b")))
+    near = (apart * (den + num) <= (small + large) * (den - num)) & (small * den >= large * num)
+    pairs = found.join(a, "rep_a").join(b, "rep_b").filter(near).select("rep_a", "rep_b")
     out = pairs.join(classes.select(F.col("cid").alias("rep_a"), F.col("values").alias("va")), "rep_a").join(classes.select(F.col("cid").alias("rep_b"), F.col("values").alias("vb")), "rep_b")
     out = out.select("rep_a", "rep_b", F.size(F.array_intersect("va", "vb")).alias("overlap"), F.size("va").alias("size_a"), F.size("vb").alias("size_b"))
     return out.filter(F.col("overlap") * den >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * num)
