@@ -3,8 +3,10 @@
 State: rows (v, u), "u is in the cluster set of v". In each round v sends its set to
 the smallest member m of the set, and m to every member. When no row changes, the
 smallest vertex of a component holds the whole set and every other vertex holds
-only that smallest vertex. Sets are kept as rows, never as arrays, so the set of a
-component with a third of all vertices is spread over all tasks.
+only that smallest vertex. Sets are kept as rows, never as arrays. The few vertices
+that hold very many of the rows are joined with their smallest member by broadcast, so
+the set of a component with a third of all vertices stays spread over the tasks that
+read it; the rest is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 
+#: A vertex is hot if it holds so many rows, and more than one in so many of all: no more vertices than that can be.
+HOT_ROWS, HOT_VERTICES = 100_000, 4096
 
-def hash_to_min(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> DataFrame:
+
+def hash_to_min(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, group_id)`` for every value that occurs in a pair; group_id is the smallest of its group.
 
     Direction, repeats and self pairs make no difference; a value with only self
@@ -32,8 +37,7 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> Da
     state = space.save(state)
     mark = _fingerprint(state)
     for _ in range(max_rounds):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        seen = state.join(least, "v").select("u", "m")
+        seen = _with_least(state, mark[0], hot_rows, space)
         # m receives every u of the set, every u receives m; m is a member of its own set
         sent = F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         new = space.save(seen.distinct().select(F.explode(sent).alias("p")).select("p.v", "p.u").distinct())
@@ -46,6 +50,17 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> Da
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def _with_least(state: DataFrame, rows: int, hot_rows: int, space: Workspace) -> DataFrame:
+    """``(u, m)`` of every row (v, u), m being the smallest member of v's set."""
+    least = state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+    if rows < hot_rows:  # no vertex can be hot
+        return state.join(least, "v").select("u", "m")
+    least = space.save(least)
+    hot = F.col("n") >= max(hot_rows, rows // HOT_VERTICES)
+    marked = state.join(F.broadcast(least.filter(hot).select("v", F.col("m").alias("h"))), "v", "left")
+    return marked.filter("h IS NOT NULL").select("u", F.col("h").alias("m")).unionByName(marked.filter("h IS NULL").select("v", "u").join(least.filter(~hot), "v").select("u", "m"))
+
+
 def _fingerprint(state: DataFrame) -> tuple:
     """Order-free digest of a state: rows and two independent sums of row hashes."""
     h = F.xxhash64("v", "u")

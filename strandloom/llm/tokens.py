@@ -4,26 +4,32 @@
    distinct words and, per text, the numbers of its words in order of position.
 2. Distinct words of the whole corpus meet in one shuffle and are encoded once.
 3. Their ids go back to the blocks (a word has at most one row a block, however
-   often it occurs), and every text is reassembled by position.
+   often it occurs), and every text is reassembled by position. Words that stand in
+   very many blocks are few and are broadcast; the others are joined by shuffle.
 
 Neither texts nor tokens are shuffled: only dictionaries and word numbers are.
+Decoding joins every token with the token-byte table, which is as large as the
+vocabulary and no larger.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 
 BLOCK_CHARS = 1_000_000
+#: A word is common if so many blocks have it, and more than one in so many of all rows: no more words than that can be.
+COMMON_BLOCKS, COMMON_WORDS = 1000, 4096
 CUT = "block long, id long, numbers binary, word_no int, word binary"
 
 
@@ -43,6 +49,8 @@ def default_pattern() -> str:
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> id of a rank file."""
+    if not os.path.exists(path):  # on another machine than the driver: the copy that it sent
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         return {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
 
@@ -99,7 +107,7 @@ def _encode(it: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[p
     for b in it:
         words = b.column(0).to_pylist()
         ids = [[known[w]] if w in known else encode(w) for w in words]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n_blocks", "ids"])
 
 
 def _assemble(texts: pa.Table, words: pa.Table, count_only: bool) -> pa.Table:
@@ -125,7 +133,7 @@ def _assemble(texts: pa.Table, words: pa.Table, count_only: bool) -> pa.Table:
     return pa.table({"id": texts.column("id"), "ids": ids})
 
 
-def encode_corpus(df: DataFrame, id: str, text: str, *, vocabulary: str | None = None, pattern: str | None = None, count_only: bool = False) -> DataFrame:
+def encode_corpus(df: DataFrame, id: str, text: str, *, vocabulary: str | None = None, pattern: str | None = None, count_only: bool = False, common_blocks: int = COMMON_BLOCKS) -> DataFrame:
     """``(id, ids)`` of every row, or ``(id, n_tokens)``.
 
     An empty and a null text both have the empty list (0 tokens) and keep their row.
@@ -135,28 +143,37 @@ def encode_corpus(df: DataFrame, id: str, text: str, *, vocabulary: str | None =
     """
     path, pat = vocabulary or default_vocabulary(), pattern or default_pattern()
     cut = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda it: _cut(it, pat), CUT)
-    cut = Workspace(df.sparkSession, "tokens").save(cut)
+    spark = df.sparkSession
+    spark.sparkContext.addFile(path)
+    space = Workspace(spark, "tokens")
+    cut = space.save(cut)
     texts = cut.filter("numbers IS NOT NULL").select("block", "id", "numbers", F.col("word_no").alias("n_words"))
     words = cut.filter("word IS NOT NULL").select("block", "word_no", "word")
-    vocabulary_rows = words.select("word").distinct().mapInArrow(lambda it: _encode(it, path, pat), "word binary, ids array<int>")
-    back = words.join(vocabulary_rows, "word").select(F.col("block").alias("of_block"), "word_no", "ids")
+    known = space.save(words.groupBy("word").agg(F.count(F.lit(1)).alias("n_blocks")).mapInArrow(lambda it: _encode(it, path, pat), "word binary, n_blocks long, ids array<int>"))
+    common = F.col("n_blocks") >= max(common_blocks, (known.agg(F.sum("n_blocks")).first()[0] or 0) // COMMON_WORDS)
+    marked = words.join(F.broadcast(known.filter(common).select("word", F.col("ids").alias("common"))), "word", "left")
+    rare = marked.filter("common IS NULL").join(known.filter(~common).select("word", "ids"), "word")
+    back = marked.filter("common IS NOT NULL").select("block", "word_no", F.col("common").alias("ids")).unionByName(rare.select("block", "word_no", "ids"))
+    back = back.withColumnRenamed("block", "of_block")
     schema = "id long, n_tokens long" if count_only else "id long, ids array<int>"
     out = texts.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(lambda a, b: _assemble(a, b, count_only), schema)
     return out.withColumnRenamed("id", id)
 
 
 def decode_corpus(df: DataFrame, id: str, ids: str, *, vocabulary: str | None = None) -> DataFrame:
-    """``(id, text)``: ids joined by position with the token-byte table, whose size is the vocabulary's.
+    """``(id, text)``: tokens joined with the token-byte table and put together by position.
 
-    Null ids give a null text; an id that the vocabulary lacks raises an error.
-    Bytes that are no UTF-8 become the replacement character.
+    Null ids give a null text and no ids an empty one; an id that the vocabulary lacks,
+    or a null within the ids, raises an error. Bytes that are no UTF-8 become the
+    replacement character. Rows with equal ids keep a text each.
     """
-    path = vocabulary or default_vocabulary()
-
-    def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
-        for b in it:
-            texts = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
-
-    return df.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("ids")).mapInArrow(decode, "id long, text string").withColumnRenamed("id", id)
+    spark = df.sparkSession
+    table = ranks(vocabulary or default_vocabulary())
+    tokens = spark.createDataFrame(pa.table({"token": pa.array(table.values(), pa.int32()), "bytes": pa.array([b.hex() for b in table], pa.string())}))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.col(ids).alias("ids"))
+    rows = rows.select("row", "id", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "token"))
+    known = rows.join(F.broadcast(tokens), "token", "left")
+    piece = F.when(F.col("pos").isNull(), F.lit("")).otherwise(F.coalesce("bytes", F.raise_error(F.concat(F.lit("no token "), F.coalesce(F.col("token").cast("string"), F.lit("null"))))))
+    whole = known.groupBy("row", "id", "none").agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("bytes")))).alias("p"))
+    text = F.make_valid_utf8(F.unhex(F.array_join("p.bytes", "")).cast("string"))
+    return whole.select(F.col("id").alias(id), F.when(~F.col("none"), text).alias("text"))

@@ -1,7 +1,9 @@
 """Most frequent items among billions of rows: a three-phase threshold top-k.
 
 The rows are dealt to nodes; each node keeps the counts of its own rows in a
-spilling hash aggregate. Only leaders travel:
+spilling hash aggregate. Where rows sent again count once, all rows are first dealt by
+the columns in which they agree, which is one exchange of them; after that, and
+without that condition from the start, only leaders travel:
 
 1. every node sends its k largest local counts; the k-th largest sum is a lower
    bound for the k-th count;

@@ -38,6 +38,7 @@ def test_hash_to_min(spark):
     df = spark.createDataFrame(pairs, SCHEMA).withColumn("v", F.lit(1)).withColumn("u", F.lit("x"))
     want = groups(pairs) | {"self": "self"}
     assert {r.node: r.group_id for r in hash_to_min(df, "a", "b").collect()} == want
+    assert {r.node: r.group_id for r in hash_to_min(df, "a", "b", hot_rows=40).collect()} == want  # hot vertices broadcast
     assert hash_to_min(df.limit(0), "a", "b").count() == 0
 
 

@@ -30,6 +30,22 @@ def test_ids_equal_the_plain_encoder(spark, monkeypatch):
     back = {r.doc_id: r.text for r in tokens.decode_corpus(out.filter("doc_id > 0"), "doc_id", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(texts) if i}
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+    # words of several blocks broadcast
+    monkeypatch.setattr(tokens, "COMMON_WORDS", 10**9)
+    common = tokens.encode_corpus(df, "doc_id", "text", common_blocks=2)
+    assert sorted((r.doc_id, r.ids) for r in common.collect()) == got
+
+
+def test_decoding(spark):
+    enc = {v: k for k, v in tokens.ranks(tokens.default_vocabulary()).items()}
+    lead = next(i for i, b in enc.items() if b == b"\xe0")
+    df = spark.createDataFrame([(1, []), (2, None), (3, [lead]), (4, [97, 98] * 4000), (4, [99])], "id long, toks array<int>").withColumn("token", F.lit("clash"))
+    got = sorted(((r.id, r.text) for r in tokens.decode_corpus(df, "id", "toks").collect()), key=str)
+    text = lambda ids: b"".join(enc[i] for i in ids).decode("utf-8", "replace")
+    assert got == sorted([(1, ""), (2, None), (3, text([lead])), (4, text([97, 98] * 4000)), (4, text([99]))], key=str)
+    assert tokens.decode_corpus(df.limit(0), "id", "toks").count() == 0
+    with pytest.raises(Exception, match="no token 999999"):
+        tokens.decode_corpus(spark.createDataFrame([(1, [999_999])], "id long, toks array<int>"), "id", "toks").collect()
 
 
 def test_packing(spark):
