@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.ranking import ranked
 from strandloom.llm.setjoin import expand_pairs, set_classes, similar_sets
-from strandloom.llm.survivor import accession, accession_in, elected_records
+from strandloom.llm.survivor import accession, accession_in, elected_records, is_stand_in
 from strandloom.llm.topk import threshold_topk
 from strandloom.llm.topn import banded_top_n
 from strandloom.runtime import Workspace
@@ -104,6 +104,11 @@ def test_accessions(spark):
     assert [r[0] for r in both.select(accession("f", "c")).collect()] == ["orb_123.4", None, "tms_1234.1"]
 
 
+def test_stand_ins(spark):
+    t = spark.createDataFrame([(" NA ",), ("batch_1/contigs.fasta",), (None,), ("  ",)], "t string")
+    assert [r[0] for r in t.select(is_stand_in("t")).collect()] == [True, False, True, True]
+
+
 def elected(df):
     ok = [F.coalesce(F.col("name").isNotNull() & (F.col("name") != "NA"), F.lit(False)), F.coalesce(F.col("len") > 0, F.lit(False))]
     return elected_records(df, ["acc", "ord"], "id", {"name": (ok[0], F.lower("name")), "len": (ok[1], F.col("len"))}, F.col("trust"), F.col("at"))
