@@ -18,6 +18,10 @@ from .sources.fasta import read_fasta, read_file_list
 from .sources.sketch_db import is_db, read_db, write_db
 
 
+#: Folder of the matrix of aligned fractions when the other one goes to standard output.
+AF_MATRIX = "strandloom_matrix.af"
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandloom")
     sub = top.add_subparsers(dest="command", required=True)
@@ -30,7 +34,14 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-m", type=int, help="one marker in so many")
         p.add_argument("-a", "--amino-acid", action="store_true")
 
+    def running(p: argparse.ArgumentParser) -> None:
+        p.add_argument("-t", type=int, help="threads of a local session; a cluster has its own")
+        p.add_argument("-v", "--debug", action="store_true", help="log more")
+        p.add_argument("--trace", action="store_true", help="log most")
+
     def mapping(p: argparse.ArgumentParser) -> None:
+        running(p)
+        p.add_argument("--no-learned-ani", action="store_true", help="no learned correction; without a model there is none")
         p.add_argument("-s", type=float, default=0.0, help="screening identity in per cent")
         p.add_argument("--min-af", type=float, default=0.0)
         p.add_argument("--both-min-af", type=float, default=0.0)
@@ -44,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", required=True)
     p.add_argument("-i", action="store_true", help="every record is a genome")
     p.add_argument("--separate-sketches", action="store_true")
+    running(p)
     sampling(p, ["fast", "slow", "medium"])
 
     p = sub.add_parser("dist", help="queries against references")
@@ -69,7 +81,9 @@ def parser() -> argparse.ArgumentParser:
 
     p = sub.add_parser("search", help="queries against a sketch database")
     p.add_argument("queries", nargs="*")
+    p.add_argument("-q", nargs="*", default=[], help="queries")
     p.add_argument("-d", required=True, help="database")
+    p.add_argument("--keep-refs", action="store_true", help="accepted; survivors of all queries are read once anyway")
     p.add_argument("--ql", help="file of paths")
     p.add_argument("--qi", action="store_true")
     p.add_argument("-n", type=int)
@@ -110,17 +124,32 @@ def show(df: DataFrame, out: str | None) -> None:
         print("\t".join("" if v is None else str(v) for v in r))
 
 
-def report(a: argparse.Namespace, r: DataFrame) -> DataFrame:
-    return output.report(r, ci=a.ci, detailed=a.detailed, short=a.short_header)
+def write_lines(lines: DataFrame, out: str | None) -> None:
+    """Lines of a matrix to a folder, or to standard output."""
+    lines = lines.orderBy("row_no").select("line")
+    if out:
+        lines.coalesce(1).write.text(out)
+        return
+    for r in lines.toLocalIterator():
+        print(r.line)
+
+
+def report(a: argparse.Namespace, r: DataFrame, p: SketchParams) -> DataFrame:
+    return output.report(r, ci=a.ci, detailed=a.detailed, short=a.short_header, aa=p.use_aa)
 
 
-def grouped(a: argparse.Namespace, r: DataFrame) -> DataFrame:
-    return report(a, output.top_per_query(r, a.n).orderBy("query_name", "rank"))
+def grouped(a: argparse.Namespace, r: DataFrame, p: SketchParams) -> DataFrame:
+    return report(a, output.top_per_query(r, a.n).orderBy("query_name", "rank"), p)
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, predict=None) -> None:
+    """Run a command; ``predict`` is a learned correction, or one for each compression (``commands.compare``)."""
     a = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("strandloom").getOrCreate()
+    builder = SparkSession.builder.appName("strandloom")
+    spark = (builder.master(f"local[{a.t}]") if a.t else builder).getOrCreate()
+    spark.sparkContext.setLogLevel("TRACE" if a.trace else "DEBUG" if a.debug else "WARN")
+    if getattr(a, "no_learned_ani", False):
+        predict = None
     ship_package(spark)
     ci = getattr(a, "ci", False) or getattr(a, "detailed", False)
     if a.command == "sketch":
@@ -129,21 +158,23 @@ def main(argv: list[str] | None = None) -> None:
         p = sampled(a)
         refs = load(spark, a.r, a.rl, a.ri, p)
         queries = load(spark, a.q, a.ql, a.qi, refs.params)
-        show(grouped(a, dist(queries, refs, mapped(a), individual=a.qi, marker_index=not a.no_marker_index, ci=ci)), a.o)
+        r = dist(queries, refs, mapped(a), individual=a.qi, individual_refs=a.ri, indexed=False if a.no_marker_index else None, ci=ci, predict=predict)
+        show(grouped(a, r, refs.params), a.o)
     elif a.command == "search":
         db = read_db(spark, a.d)
-        queries = load(spark, a.queries, a.ql, a.qi, db.params)
-        show(grouped(a, search(queries, db, mapped(a), individual=a.qi, marker_index=not a.no_marker_index, ci=ci)), a.o)
+        queries = load(spark, a.queries + a.q, a.ql, a.qi, db.params)
+        r = search(queries, db, mapped(a), individual=a.qi, indexed=False if a.no_marker_index else None, ci=ci, predict=predict)
+        show(grouped(a, r, db.params), a.o)
     else:
         g = load(spark, a.files, a.l, a.i, sampled(a))
-        r = triangle(g, mapped(a), ci=ci)
-        name = F.col("contigs")[0] if a.i else F.col("file_name")
+        r = triangle(g, mapped(a), individual=a.i, ci=ci, predict=predict)
         if a.sparse:
-            show(report(a, output.sparse_pairs(r, output.self_rows(g.genomes, F.col("contigs")[0]) if a.diagonal else None)), a.o)
+            show(report(a, output.sparse_pairs(r, output.self_rows(g.genomes, F.col("contigs")[0]) if a.diagonal else None), g.params), a.o)
         else:
-            ref, query = ("ref_name", "query_name") if a.i else ("ref_file", "query_file")
-            cells = output.matrix_cells(g.genomes.select(name.alias("name")), "name", r.withColumn("ani", F.col("ani") * 100), ref, query, "ani", full=a.full_matrix, diagonal=a.diagonal, distance=a.distance)
-            show(output.matrix_rows(cells).orderBy("row_name"), a.o)
+            named = g.genomes.select("genome_id", (F.col("contigs")[0] if a.i else F.col("file_name")).alias("name"))
+            ani, af = output.matrix_lines(named, "genome_id", "name", r, "ref_id", "query_id", full=a.full_matrix, diagonal=a.diagonal, distance=a.distance)
+            write_lines(ani, a.o)
+            write_lines(af, f"{a.o}.af" if a.o else AF_MATRIX)
 
 
 if __name__ == "__main__":

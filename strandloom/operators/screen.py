@@ -2,8 +2,9 @@
 
 Markers that nearly every genome has would make a join on markers quadratic. For
 genomes that need t shared markers, the rarest n - t + 1 of the smaller one's n
-markers must already contain one that is shared; only those are joined, and the
-shared markers of the few candidate pairs are counted exactly.
+markers must already contain one that is shared; only those are joined and counted
+by pair. The t - 1 frequent ones that are left are looked up for the candidate pairs
+that can still reach t. Nowhere does a pair carry a whole set of markers.
 """
 
 from __future__ import annotations
@@ -27,10 +28,25 @@ def threshold(smaller: Column, identity: float, aa: bool) -> Column:
 
 
 def _ranked(markers: DataFrame, freq: DataFrame, identity: float, aa: bool, indexed: bool, space: Workspace) -> DataFrame:
-    """One row per genome: its markers ascending, and how many and which are its rare ones."""
+    """One row per genome: how many markers, how many a pair of which it is the smaller needs, and its rare and frequent ones."""
     m = markers.join(freq, "marker").groupBy("genome_id").agg(F.sort_array(F.collect_list(F.struct("n_genomes", "marker"))).alias("m"))
-    need = threshold(F.size("m"), identity, aa) + (1 if indexed else 0)
-    return space.save(m.select("genome_id", F.size("m").alias("n"), F.sort_array(F.col("m.marker")).alias("all"), F.slice(F.col("m.marker"), 1, F.greatest(F.size("m") - need + 1, F.lit(0)).cast("int")).alias("rare")))
+    n = F.size("m")
+    need = threshold(n, identity, aa) + (1 if indexed else 0)
+    rare = F.greatest(n - need + 1, F.lit(0)).cast("int")
+    return space.save(m.select("genome_id", n.alias("n"), need.alias("need"), F.slice("m.marker", 1, rare).alias("rare"), F.slice("m.marker", rare + 1, n).alias("frequent")))
+
+
+def _counted(small: DataFrame, large: DataFrame, fits: Column, space: Workspace) -> DataFrame:
+    """``(small_id, large_id, shared)`` of the pairs that share enough; ``fits`` says which genome of a pair is the smaller."""
+    known = large.select(F.explode(F.concat("rare", "frequent")).alias("marker"), F.col("genome_id").alias("large_id"), F.col("n").alias("large_n"))
+    rare = small.select(F.explode("rare").alias("marker"), F.col("genome_id").alias("small_id"), F.col("n").alias("small_n"))
+    begun = rare.join(known, "marker").filter(fits).groupBy("small_id", "large_id").agg(F.count(F.lit(1)).alias("shared"))
+    rest = small.select(F.col("genome_id").alias("small_id"), "need", "frequent")
+    begun = space.save(begun.join(rest, "small_id").filter(F.col("shared") + F.size("frequent") >= F.col("need")).select("small_id", "large_id", "shared", "need"))
+    more = begun.select("small_id", "large_id").join(rest, "small_id").select("small_id", "large_id", F.explode("frequent").alias("marker"))
+    more = more.join(known.select("large_id", "marker"), ["large_id", "marker"]).groupBy("small_id", "large_id").agg(F.count(F.lit(1)).alias("more"))
+    whole = begun.join(more, ["small_id", "large_id"], "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0)))
+    return whole.filter(F.col("shared") >= F.col("need")).select("small_id", "large_id", "shared")
 
 
 def screen_pairs(queries: DataFrame, refs: DataFrame, *, identity: float, aa: bool = False, indexed: bool = True, rescue: bool = False, query_genomes: DataFrame | None = None, ref_genomes: DataFrame | None = None, triangle: bool = False) -> DataFrame:
@@ -47,21 +63,14 @@ def screen_pairs(queries: DataFrame, refs: DataFrame, *, identity: float, aa: bo
     both = refs if triangle else queries.unionByName(refs)
     freq = both.groupBy("marker").agg(F.count(F.lit(1)).alias("n_genomes"))
     r = _ranked(refs, freq, identity, aa, indexed, space)
-    q = r if triangle else _ranked(queries, freq, identity, aa, indexed, space)
-
-    def side(df: DataFrame, marks: str, p: str) -> DataFrame:
-        return df.select(F.explode(marks).alias("marker"), F.col("genome_id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"))
-
-    # The smaller set is known by its rare markers, the larger by all of its own.
-    small_q = side(q, "rare", "query").join(side(r, "all", "ref"), "marker").filter("query_n <= ref_n")
-    small_r = side(r, "rare", "ref").join(side(q, "all", "query"), "marker").filter("ref_n < query_n")
-    found = small_q.select("query_id", "ref_id").unionByName(small_r.select("query_id", "ref_id"))
+    smaller, same = F.col("small_n") < F.col("large_n"), F.col("small_n") == F.col("large_n")
     if triangle:
-        found = found.filter("query_id <> ref_id").select(F.least("query_id", "ref_id").alias("query_id"), F.greatest("query_id", "ref_id").alias("ref_id"))
-    pairs = found.distinct()
-    pairs = pairs.join(q.select(F.col("genome_id").alias("query_id"), F.col("all").alias("qa")), "query_id").join(r.select(F.col("genome_id").alias("ref_id"), F.col("all").alias("ra")), "ref_id")
-    pairs = pairs.select("query_id", "ref_id", F.size(F.array_intersect("qa", "ra")).cast("long").alias("shared"), threshold(F.least(F.size("qa"), F.size("ra")), identity, aa).alias("t"))
-    out = pairs.filter(F.col("shared") > F.col("t") if indexed else F.col("shared") >= F.col("t")).select("query_id", "ref_id", "shared")
+        found = _counted(r, r, smaller | same & (F.col("small_id") < F.col("large_id")), space)
+        out = found.select(F.least("small_id", "large_id").alias("query_id"), F.greatest("small_id", "large_id").alias("ref_id"), "shared")
+    else:
+        q = _ranked(queries, freq, identity, aa, indexed, space)
+        by_query, by_ref = _counted(q, r, smaller | same, space), _counted(r, q, smaller, space)
+        out = by_query.select(F.col("small_id").alias("query_id"), F.col("large_id").alias("ref_id"), "shared").unionByName(by_ref.select(F.col("large_id").alias("query_id"), F.col("small_id").alias("ref_id"), "shared"))
     if not rescue:
         return out
     few = F.coalesce("n_markers", F.lit(0)) < RESCUE_MARKERS

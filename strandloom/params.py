@@ -66,7 +66,6 @@ class MapParams:
     robust: bool = False
     median: bool = False
     rescue: bool = True
-    indexed: bool = True
     min_ani: float = 0.1
 
     def af_cutoff(self, aa: bool) -> float:

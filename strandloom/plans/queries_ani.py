@@ -14,8 +14,10 @@ from ..operators.screen import screen_pairs
 from ..operators.sketch import sketch
 from ..params import MapParams, SketchParams, chain_params
 from ..runtime import Workspace, read_table
+from ..sources.sketch_db import read_db, write_db
 from .commands import dist, search, triangle
-from .queries_sketch import DOC_PARAMS, doc_contigs
+from .queries_sketch import DOC_PARAMS, _seed_stats, doc_contigs
+from .queries_sketch import ORACLE as SKETCH_ORACLE
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -214,7 +216,7 @@ def _source_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     src = g.filter(F.col("source_db").isNotNull()).groupBy("file_name").agg(F.min(F.lower(F.trim("source_db"))).alias("s"))
     t = resolve_names(output.reported(read_table(spark, sf, "triangle_detailed")), ["ref_file", "query_file"], g, "file_name")
     p = t.join(src.withColumnsRenamed({"file_name": "ref_file", "s": "a"}), "ref_file").join(src.withColumnsRenamed({"file_name": "query_file", "s": "b"}), "query_file")
-    return read_table(spark, sf, "registries"), p.select("a", "b", "ani").filter("a <> b")
+    return read_table(spark, sf, "registries"), p.select("a", "b", "ani", F.col("align_fraction_ref").alias("fa"), F.col("align_fraction_query").alias("fb")).filter("a <> b")
 
 
 def _source_sql(least: str, distance: bool) -> str:
@@ -246,6 +248,53 @@ def distance_matrix(spark, sf):
 ORACLE["dense_matrix"], ORACLE["distance_matrix"] = _source_sql(">", False), _source_sql("<>", True)
 
 
+def _source_matrix(spark: SparkSession, sf: str, **how) -> tuple[DataFrame, DataFrame]:
+    """Lines of both matrices of the sources: best identity, and of either source the best aligned fraction, against the other."""
+    _, p = _source_pairs(spark, sf)
+    first = F.col("a") < F.col("b")
+    p = p.groupBy(F.least("a", "b").alias("r"), F.greatest("a", "b").alias("q")).agg((F.max("ani") / 100).alias("ani"), (F.max(F.when(first, F.col("fa")).otherwise(F.col("fb"))) / 100).alias("af_ref"), (F.max(F.when(first, F.col("fb")).otherwise(F.col("fa"))) / 100).alias("af_query"))
+    return output.matrix_lines(read_table(spark, sf, "registries"), "source_db", "source_db", p, "r", "q", **how)
+
+
+@query
+def matrix_lines(spark, sf):
+    """The lower triangle of the sources as it is written, number of rows first."""
+    return _source_matrix(spark, sf)[0]
+
+
+@query
+def distance_lines(spark, sf):
+    """The full matrix of distances of the sources as it is written."""
+    return _source_matrix(spark, sf, full=True, distance=True)[0]
+
+
+@query
+def af_lines(spark, sf):
+    """The matrix of aligned fractions that is written beside it: full, asymmetric, 100 in the diagonal."""
+    return _source_matrix(spark, sf)[1]
+
+
+def _lines_sql(value: str, cells: str, missing: str, perfect: str) -> str:
+    from ..functions import sql_names
+
+    return f"""
+WITH {sql_names.NAMES}, src AS (SELECT file_name, min(lower(trim(source_db))) AS s FROM genomes WHERE source_db IS NOT NULL GROUP BY file_name),
+t AS (SELECT {sql_names.known('ref_file')} AS r, {sql_names.known('query_file')} AS q, ani, align_fraction_ref AS fr, align_fraction_query AS fq FROM triangle_detailed WHERE ani >= 0 AND NOT isnan(ani)),
+d AS (SELECT a.s AS x, b.s AS y, ani, fr AS f FROM t JOIN src a ON a.file_name = r JOIN src b ON b.file_name = q WHERE a.s <> b.s
+      UNION ALL SELECT b.s, a.s, ani, fq FROM t JOIN src a ON a.file_name = r JOIN src b ON b.file_name = q WHERE a.s <> b.s),
+p AS (SELECT x, y, {value} AS v FROM d GROUP BY x, y),
+n AS (SELECT source_db AS s, row_number() OVER (ORDER BY source_db)::INT AS i FROM (SELECT DISTINCT source_db FROM registries)),
+c AS (SELECT a.i, a.s, string_agg(printf('%.2f', CASE WHEN b.i IS NULL THEN NULL WHEN b.i = a.i THEN {perfect} ELSE coalesce(v, {missing}) END), chr(9) ORDER BY b.i) AS l
+      FROM n a LEFT JOIN n b ON {cells} LEFT JOIN p ON x = a.s AND y = b.s GROUP BY a.i, a.s)
+SELECT 0 AS row_no, (SELECT count(*) FROM n)::VARCHAR AS line UNION ALL SELECT i, concat_ws(chr(9), s, l) FROM c
+"""
+
+
+ORACLE["matrix_lines"] = _lines_sql("max(ani / 100 * 100)", "b.i < a.i", "0.0::DOUBLE", "100.0::DOUBLE")
+ORACLE["distance_lines"] = _lines_sql("100 - max(ani / 100 * 100)", "true", "100.0::DOUBLE", "0.0::DOUBLE")
+ORACLE["af_lines"] = _lines_sql("max(f / 100 * 100)", "true", "0.0::DOUBLE", "100.0::DOUBLE")
+
+
 @query
 def af_matrix(spark, sf):
     """Aligned fraction of every row's file against the column's, in both directions."""
@@ -262,26 +311,54 @@ SELECT row_name, col_name, max(value) AS value FROM (
 # commands, over sequences of documents
 
 
+_databases: dict[tuple[str, str, bool], str] = {}
+
+
 def _docs(spark: SparkSession, sf: str, queries: bool = False):
     c = doc_contigs(spark, sf)
     return sketch(c.filter(F.col("genome_id").cast("long") % 100 == 0) if queries else c, DOC_PARAMS)
 
 
+def database(spark: SparkSession, sf: str, separate: bool = False) -> str:
+    """Folder of the sketch database of all documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf, separate)
+    if key not in _databases:
+        path = Workspace(spark, "db").root
+        write_db(_docs(spark, sf), path, separate=separate)
+        _databases[key] = path
+    return _databases[key]
+
+
 def _short(r: DataFrame) -> DataFrame:
     return r.select("ref_file", "query_file", F.round("ani", 6).alias("ani"), F.round("af_ref", 6).alias("af_ref"), F.round("af_query", 6).alias("af_query"), "total_bases")
 
 
+@query
+def db_roundtrip(spark, sf):
+    """Seeds of every sequence after a sketch database was written and read again."""
+    return _seed_stats(read_db(spark, database(spark, sf)).seeds)
+
+
+ORACLE["db_roundtrip"] = SKETCH_ORACLE["seed_sketch"]
+
+
 @query
 def dist_ani(spark, sf):
-    """Every hundredth document against all, with resampled intervals."""
+    """Every hundredth document against all, with resampled intervals where there are ten fragments."""
     r = dist(_docs(spark, sf, True), _docs(spark, sf), MapParams(), ci=True)
     return r.select("ref_file", "query_file", "ani", "ci_lower", "ci_upper")
 
 
 @query
 def search_ani(spark, sf):
-    """Every hundredth document searched in a database of all."""
-    return _short(search(_docs(spark, sf, True), _docs(spark, sf)))
+    """Every hundredth document searched in the database of all."""
+    return _short(search(_docs(spark, sf, True), read_db(spark, database(spark, sf))))
+
+
+@query
+def search_separate(spark, sf):
+    """The same in a database with a folder for every document."""
+    return _short(search(_docs(spark, sf, True), read_db(spark, database(spark, sf, True))))
 
 
 @query

@@ -17,7 +17,6 @@ from ..operators.sketch import genome_rows, seed_rows, sketch
 from ..params import MIN_CONTIG, ChainParams, SketchParams
 from ..runtime import Workspace, read_table
 from ..sources.fasta import contigs_from_table
-from ..sources.sketch_db import read_db, write_db
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -193,17 +192,6 @@ def marker_sketch(spark, sf):
 ORACLE["marker_sketch"] = f"WITH {seeds_sql(BASES, DOC_PARAMS)} SELECT doc_id, count(*) AS n_markers, sum(marker)::BIGINT AS sum_marker FROM (SELECT DISTINCT doc_id, marker FROM h7 WHERE h < {FULL // DOC_PARAMS.marker_c}) GROUP BY doc_id"
 
 
-@query
-def db_roundtrip(spark, sf):
-    """Seeds of every sequence after a sketch database was written and read again."""
-    path = Workspace(spark, "db").root
-    write_db(sketch(doc_contigs(spark, sf), DOC_PARAMS), path)
-    return _seed_stats(read_db(spark, path).seeds)
-
-
-ORACLE["db_roundtrip"] = ORACLE["seed_sketch"]
-
-
 @query
 def orf_find(spark, sf):
     """Open reading frames of both strands: their number and extent per sequence."""

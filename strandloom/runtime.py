@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _runs: dict[str, str] = {}
 _shipped: set[str] = set()
+_open: list[list[Workspace]] = []  # of the blocks that delete what is written in them
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -74,6 +77,8 @@ class Workspace:
         fs, path = self._hadoop(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)  # with the session, not before: results are read lazily
+        if _open:
+            _open[-1].append(self)
 
     def _hadoop(self, path: str):
         """File system and path object of a location."""
@@ -102,3 +107,14 @@ class Workspace:
         """Delete all tables, once nothing lazy reads them any more."""
         fs, p = self._hadoop(self.root)
         fs.delete(p, True)
+
+
+@contextmanager
+def workspaces_of_block() -> Iterator[None]:
+    """Tables that are written inside the block are deleted at its end; nothing lazy may outlive it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for w in _open.pop():
+            w.close()

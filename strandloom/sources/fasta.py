@@ -7,12 +7,14 @@ import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import MIN_CONTIG
 
 CONTIGS = "genome_id string, file_name string, contig_order int, contig_index int, contig_name string, seq binary, len int"
+#: Largest file that becomes one row.
+WHOLE_BYTES = 1 << 30
 log = logging.getLogger(__name__)
 
 
@@ -54,25 +56,65 @@ def _contigs(it: Iterator[pa.RecordBatch], individual: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def read_fasta(spark: SparkSession, paths: list[str] | str, *, individual: bool = False) -> DataFrame:
+def _inputs(spark: SparkSession, paths: list[str], whole_bytes: int) -> tuple[list[str], list[str]]:
+    """Files behind paths, patterns and folders: those to be read whole, and those to be read by record. What is blank or missing is logged and left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole, split = [], []
+    for path in paths:
+        if not path.strip():
+            log.warning("a blank path is left out")
+            continue
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = [f for f in (fs.globStatus(p) or [])]
+        found = [f for d in found for f in (fs.listStatus(d.getPath()) if d.isDirectory() else [d]) if f.isFile() and f.getPath().getName()[0] not in "_."]
+        if not found:
+            log.warning("%s is missing and left out", path)
+        for f in found:
+            (split if f.getLen() > whole_bytes else whole).append(f.getPath().toString())
+    return whole, split
+
+
+def _local(path):
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _by_record(spark: SparkSession, paths: list[str], individual: bool) -> DataFrame:
+    """The same contigs from FASTA files that are too large for one row, plain ones in splits, a record at a time."""
+    text = spark.read.option("lineSep", "\n>").text(paths).select(_local(F.col("_metadata.file_path")).alias("file_name"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"^\s*>", "").alias("r"))
+    name = F.regexp_replace(F.substring_index("r", "\n", 1), "\r", "")
+    rows = text.select("file_name", "at", name.alias("contig_name"), F.regexp_replace(F.expr("substring(r, length(substring_index(r, '\n', 1)) + 2)"), r"\s", "").cast("binary").alias("seq"))
+    rows = rows.withColumn("len", F.length("seq").cast("int")).filter(F.col("len") >= MIN_CONTIG)
+    order = rows.select("file_name", "at").withColumn("i", (F.row_number().over(Window.partitionBy("file_name").orderBy("at")) - 1).cast("int")).drop("file_name")
+    zero = F.lit(0)
+    out = rows.join(order, "at").withColumn("genome_id", F.concat("file_name", F.lit("#"), "i") if individual else F.col("file_name"))
+    return out.select("genome_id", "file_name", (F.col("i") if individual else zero).alias("contig_order"), (zero if individual else F.col("i")).alias("contig_index"), "contig_name", "seq", "len")
+
+
+def read_fasta(spark: SparkSession, paths: list[str] | str, *, individual: bool = False, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Contigs of at least 500 bases, one genome a file or, if ``individual``, one a record.
 
-    Files that are missing, broken or too short are logged and left out.
+    Paths that are blank or missing, and files that are broken, empty or too short, are
+    logged and left out; if none is left there are no rows. Files of more than
+    ``whole_bytes`` must be FASTA; they are read record by record, in splits unless
+    they are compressed.
     """
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
-    return files.select("path", "content").mapInArrow(lambda it: _contigs(it, individual), CONTIGS)
+    whole, split = _inputs(spark, [paths] if isinstance(paths, str) else list(paths), whole_bytes)
+    out = spark.createDataFrame([], CONTIGS)
+    if whole:
+        files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(whole)
+        out = files.select("path", "content").mapInArrow(lambda it: _contigs(it, individual), CONTIGS)
+    return out.unionByName(_by_record(spark, split, individual)) if split else out
 
 
 def read_file_list(path: str) -> list[str]:
-    """Paths of a list, one a line, trimmed; blank lines are kept as empty paths."""
+    """Paths of a list, one a line, trimmed; blank lines are kept as empty paths, which reading leaves out."""
     with open(path) as f:
         return [x.strip() for x in f.read().splitlines()]
 
 
 def contigs_from_table(df: DataFrame, genome: str, order: str, name: str, seq: str, *, file_name: str | None = None) -> DataFrame:
     """The same columns from a table that has one row per contig; short contigs are left out."""
-    from pyspark.sql import Window
-
     s = df.filter(F.length(seq) >= MIN_CONTIG)
     index = F.row_number().over(Window.partitionBy(genome).orderBy(order)) - 1
     return s.select(F.col(genome).cast("string").alias("genome_id"), F.col(file_name or genome).cast("string").alias("file_name"), F.lit(0).alias("contig_order"), index.cast("int").alias("contig_index"), F.col(name).cast("string").alias("contig_name"), F.col(seq).cast("binary").alias("seq"), F.length(seq).cast("int").alias("len"))
