@@ -12,9 +12,10 @@ from ..operators.ani import bootstrap_ci, chunk_identity, rejected, weighted_ani
 from ..operators.chain import chain_rows, chunk_rows
 from ..operators.screen import screen_pairs
 from ..operators.sketch import sketch
-from ..params import MapParams, SketchParams, chain_params
+from ..params import INDEX_QUERIES, MapParams, SketchParams, chain_params
 from ..runtime import Workspace, read_table
 from ..sources.sketch_db import read_db, write_db
+from . import sql_chain
 from .commands import dist, search, triangle
 from .queries_sketch import DOC_PARAMS, _seed_stats, doc_contigs
 from .queries_sketch import ORACLE as SKETCH_ORACLE
@@ -61,6 +62,13 @@ def nonoverlap_chains(spark, sf):
     return chain_rows(*_doc_anchors(spark, sf), CP)
 
 
+_DOCS_97 = f"WITH RECURSIVE {sql_chain.pairs_sql(0.97, DOC_PARAMS, 'shared > t')}, {sql_chain.chunks_sql(DOC_PARAMS)}"
+ORACLE["chunk_anchors"] = f"{_DOCS_97} SELECT q::VARCHAR AS query_id, r::VARCHAR AS ref_id, chunk::INT AS chunk_id, count(*) AS n_seeds, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM owned GROUP BY q, r, chunk"
+_CHAIN_COLUMNS = "q::VARCHAR AS query_id, r::VARCHAR AS ref_id, chunk::INT AS chunk_id, score::DOUBLE AS score, anchors::INT AS num_anchors, qs::INT AS q_start, qe::INT AS q_end, rs::INT AS r_start, re::INT AS r_end, 0 AS ref_contig, 0 AS query_contig, rev AS reverse"
+ORACLE["chain_intervals"] = f"{_DOCS_97}, {sql_chain.chains_sql(DOC_PARAMS)} SELECT {_CHAIN_COLUMNS} FROM best"
+ORACLE["nonoverlap_chains"] = f"{_DOCS_97}, {sql_chain.chains_sql(DOC_PARAMS)}, {sql_chain.free_sql()} SELECT {_CHAIN_COLUMNS} FROM won"
+
+
 # identities over search_hits, whose rows stand for fragments of a (run, query file) pair
 
 
@@ -361,6 +369,19 @@ def search_separate(spark, sf):
     return _short(search(_docs(spark, sf, True), read_db(spark, database(spark, sf, True))))
 
 
+def _results_sql(rescue: bool, least_ani: float) -> str:
+    """A comparison at the default screen; one shared marker more is asked for with more than 50 queries, and then only queries of few markers are rescued."""
+    many = f"(SELECT count(*) FROM g WHERE {sql_chain.QUERY}) > {INDEX_QUERIES}"
+    few = f"{sql_chain.few_sql(False)} OR NOT {many} AND ({sql_chain.few_sql(True)})" if rescue else None
+    pairs = sql_chain.pairs_sql(0.8, DOC_PARAMS, f"shared > t OR shared = t AND NOT {many}", few)
+    return f"WITH RECURSIVE {pairs}, {sql_chain.chunks_sql(DOC_PARAMS)}, {sql_chain.chains_sql(DOC_PARAMS)}, {sql_chain.free_sql()}, {sql_chain.results_sql(DOC_PARAMS, 0.15, least_ani)}"
+
+
+ORACLE["search_ani"] = ORACLE["search_separate"] = f"{_results_sql(False, 0.5)} SELECT r::VARCHAR AS ref_file, q::VARCHAR AS query_file, round(ani, 6) AS ani, round(af_r, 6) AS af_ref, round(af_q, 6) AS af_query, total AS total_bases FROM res"
+# No document has the ten fragments that an interval needs, so all have that of the unknown.
+ORACLE["dist_ani"] = f"{_results_sql(True, 0.1)} SELECT r::VARCHAR AS ref_file, q::VARCHAR AS query_file, ani, 0.0::DOUBLE AS ci_lower, 1.0::DOUBLE AS ci_upper FROM res"
+
+
 @query
 def triangle_ani(spark, sf):
     """All pairs of documents."""
