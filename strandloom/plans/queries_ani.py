@@ -164,6 +164,19 @@ def bootstrap_interval(spark, sf):
     return bootstrap_ci(chunk_identity(_chunks(spark, sf), HIT_CP), ["query_id", "ref_id"])
 
 
+@query
+def bootstrap_bounds(spark, sf):
+    """Of every pair, its fragments, and whether its interval is that of the unknown or lies within its identities."""
+    c = chunk_identity(_chunks(spark, sf), HIT_CP)
+    keys = ["query_id", "ref_id"]
+    j = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ani").alias("lo"), F.max("ani").alias("hi")).join(bootstrap_ci(c, keys), keys)
+    tiny = 1e-9
+    return j.select(*keys, "n", ((F.col("ci_lower") == 0) & (F.col("ci_upper") == 1)).alias("unknown"), ((F.col("ci_lower") >= F.col("lo") - tiny) & (F.col("ci_upper") <= F.col("hi") + tiny) & (F.col("ci_lower") <= F.col("ci_upper"))).alias("within"))
+
+
+ORACLE["bootstrap_bounds"] = f"WITH {_CHUNKS_SQL} SELECT query_id, ref_id, count(*) AS n, count(*) < 10 AS unknown, count(*) >= 10 AS within FROM e GROUP BY query_id, ref_id"
+
+
 # reports
 
 

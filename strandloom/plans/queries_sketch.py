@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import is_marker
-from ..functions.kmers import FULL, decode_expr, encode_expr, mix64_steps, open_frames, residues_expr, revcomp_expr, short_name
+from ..functions.kmers import FULL, RESIDUES, decode_expr, encode_expr, mix64_steps, open_frames, residues_expr, revcomp_expr, short_name
 from ..operators.anchors import anchor_rows, orient, with_multiplicity
 from ..operators.ani import length_quantile
 from ..operators.screen import marker_index, screen_pairs
@@ -208,14 +208,17 @@ def orf_find(spark, sf):
     return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_orfs"), F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"), F.sum("phase").alias("sum_phase"), F.max(F.col("end") - F.col("start")).alias("longest"))
 
 
-ORACLE["orf_find"] = f"""
-WITH d AS (SELECT doc_id, seq FROM {dna_sql()} WHERE length(seq) >= 500),
+_FRAMES_SQL = f"""
+d AS (SELECT doc_id, seq FROM {dna_sql()} WHERE length(seq) >= 500),
 b AS (SELECT doc_id, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS ch FROM d),
 c AS (SELECT doc_id, p, ch || lead(ch, 1) OVER w || lead(ch, 2) OVER w AS codon, (p + 2) % 3 AS phase FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 s AS (SELECT *, codon IN ('TAA', 'TAG', 'TGA') AS f FROM c WHERE codon IN ('TAA', 'TAG', 'TGA', 'TTA', 'CTA', 'TCA')),
 t AS (SELECT *, lag(p) OVER (PARTITION BY doc_id, phase, f ORDER BY p) AS prev, max(CASE WHEN f THEN p END) OVER (PARTITION BY doc_id, phase ORDER BY p ROWS UNBOUNDED PRECEDING) AS lastf FROM s),
 o AS (SELECT doc_id, prev AS a, p AS b, phase FROM t WHERE f AND prev > 0 AND p - prev > 30
   UNION ALL SELECT doc_id, coalesce(prev, 0), p, phase + 3 FROM t WHERE NOT f AND lastf > 0 AND p - coalesce(prev, 0) > 45)
+"""
+ORACLE["orf_find"] = f"""
+WITH {_FRAMES_SQL}
 SELECT doc_id, count(*) AS n_orfs, sum(a)::BIGINT AS sum_start, sum(b)::BIGINT AS sum_end, sum(phase)::BIGINT AS sum_phase, max(b - a)::BIGINT AS longest FROM o GROUP BY doc_id
 """
 
@@ -226,6 +229,22 @@ def aa_seed_sketch(spark, sf):
     return _seed_stats(seed_rows(doc_contigs(spark, sf), AA_PARAMS))
 
 
+def _residue_sql(code: str) -> str:
+    return f"([{', '.join(str(RESIDUES[a]) for a in _CODONS)}])[{code} + 1]"
+
+
+_LAST_SIX = [f"lag(res, {5 - j}) OVER w" if j < 5 else "res" for j in range(6)]
+_AA_WORDS = f"""{_FRAMES_SQL},
+n AS (SELECT doc_id, p, instr('ACGT', ch) - 1 AS x FROM b),
+cd AS (SELECT doc_id, p, x * 16 + lead(x, 1) OVER w * 4 + lead(x, 2) OVER w AS f, (3 - x) + 4 * (3 - lead(x, 1) OVER w) + 16 * (3 - lead(x, 2) OVER w) AS r FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+fr AS (SELECT doc_id, a, phase, unnest(range(a, o.b + 1, 3)) AS p FROM o),
+rs AS (SELECT t.doc_id, a, phase, t.p, CASE WHEN phase < 3 THEN {_residue_sql('f')} ELSE {_residue_sql('r')} END AS res FROM fr t JOIN cd ON cd.doc_id = t.doc_id AND cd.p = t.p WHERE f IS NOT NULL),
+wd AS (SELECT doc_id, phase < 3 AS canonical, p + 2 AS pos, row_number() OVER w AS i, {" + ".join(f"{32 ** (5 - j)} * ({c})" for j, c in enumerate(_LAST_SIX))} AS fw, {" + ".join(f"{32**j} * ({c})" for j, c in enumerate(_LAST_SIX))} AS bw
+  FROM rs WINDOW w AS (PARTITION BY doc_id, a, phase ORDER BY p)),
+k AS (SELECT doc_id, pos, canonical, CASE WHEN canonical THEN fw ELSE bw END AS kmer FROM wd WHERE i >= 10), {mix_sql('k', 'kmer', 'doc_id, pos, kmer, canonical')}"""
+ORACLE["aa_seed_sketch"] = f"WITH {_AA_WORDS} SELECT doc_id, count(*) AS n_seeds, sum(kmer)::BIGINT AS sum_kmer, sum(pos)::BIGINT AS sum_pos, count_if(canonical)::BIGINT AS n_canonical FROM h7 WHERE h < {FULL // AA_PARAMS.c} GROUP BY doc_id"
+
+
 # screening, over the marker sets that the test tables give
 
 
