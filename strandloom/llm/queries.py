@@ -299,6 +299,33 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.join(ids, "cluster").select(F.col("name").alias("file_name"), "cluster_id")
 
 
+def _majority_sql(rounds: int) -> str:
+    """Groups by the definition: neighbourhoods, and what both ends of a link share of them, moved all at once until they stay; the larger of competing ones."""
+
+    def move(t: int) -> str:
+        return f"""n{t} AS (SELECT g, count(*) AS n FROM c{t} GROUP BY g),
+c{t + 1} AS MATERIALIZED (SELECT k.g, k.y AS x FROM (SELECT c.g, nb.u AS y, count(*) AS links FROM c{t} c JOIN nb ON nb.v = c.x GROUP BY c.g, nb.u) k JOIN n{t} n ON n.g = k.g
+  LEFT JOIN c{t} i ON i.g = k.g AND i.x = k.y WHERE 2 * links > n.n - CASE WHEN i.x IS NULL THEN 0 ELSE 1 END)"""
+
+    return f"""
+WITH RECURSIVE {sql_names.NAMES},
+e AS (SELECT DISTINCT {sql_names.known('ref_file')} AS a, {sql_names.known('query_file')} AS b FROM triangle_detailed
+  WHERE ani >= 95 AND NOT isnan(ani) AND align_fraction_ref >= 50 AND NOT isnan(align_fraction_ref) AND align_fraction_query >= 50 AND NOT isnan(align_fraction_query)),
+nb AS MATERIALIZED (SELECT DISTINCT v, u FROM (SELECT a AS v, b AS u FROM e UNION ALL SELECT b, a FROM e) WHERE v <> u),
+hood AS MATERIALIZED (SELECT v AS g, u AS x FROM nb UNION SELECT v, v FROM nb),
+c0 AS MATERIALIZED (SELECT g, x FROM hood UNION ALL SELECT v || chr(10) || u, h.x FROM nb JOIN hood h ON h.g = v JOIN hood o ON o.g = u AND o.x = h.x WHERE v < u),
+{", ".join(move(t) for t in range(rounds))},
+f AS (SELECT DISTINCT l FROM (SELECT g, list_sort(list(x)) AS l FROM c{rounds} GROUP BY g) JOIN (SELECT g, list_sort(list(x)) AS before FROM c{rounds - 1} GROUP BY g) USING (g) WHERE l = before AND len(l) >= 3),
+rk AS MATERIALIZED (SELECT l, row_number() OVER (ORDER BY len(l) DESC, l) AS k FROM f),
+st AS (SELECT k, l AS used, true AS stands FROM rk WHERE k = 1
+  UNION ALL SELECT rk.k, CASE WHEN list_has_any(used, l) THEN used ELSE list_concat(used, l) END, NOT list_has_any(used, l) FROM st JOIN rk ON rk.k = st.k + 1)
+SELECT unnest(l) AS file_name, l[1] AS cluster_id FROM st JOIN rk ON rk.k = st.k WHERE stands
+"""
+
+
+ORACLE["p1_found"] = _majority_sql(12)
+
+
 @query
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Every cluster with its size and its three most persistent members, those that came in at the smallest distance."""
