@@ -51,8 +51,10 @@ def heavy_keys(totals: DataFrame, key: str, per_mille: int) -> DataFrame:
     """Keys of ``keyed_totals`` that hold at least ``per_mille`` thousandths of the rows.
 
     The totals are written once and read twice: for their sum and for the filter.
-    The comparison is exact in whole numbers; with no rows there are no keys.
+    The comparison is exact in whole numbers; with no rows there are no keys. The least
+    number of rows is worked out here, as a total below 2^31 is an INT literal, whose
+    product overflows from 86 million rows on at 25 thousandths.
     """
     kept = Workspace(totals.sparkSession, "heavy").save(totals.select(key, "n_rows"))
     total = kept.agg(F.sum("n_rows")).first()[0] or 0
-    return kept.filter(F.col("n_rows") * 1000 >= F.lit(total) * per_mille)
+    return kept.filter(F.col("n_rows") >= F.lit(-(-total * per_mille // 1000)))

@@ -18,6 +18,13 @@ def test_totals_with_a_hot_key(spark):
     assert keyed_totals(df, "key", where=F.col("pos") > 48).agg(F.sum("n_rows")).first()[0] == sum(1 for r in rows if r[0] is not None and r[2] > 48)
 
 
+def test_heavy_keys_of_many_rows(spark):
+    for total in (100_000_000, 2_000_000_000, 2**31 - 1, 9 * 10**15):
+        least = -(-total * 25 // 1000)
+        totals = spark.createDataFrame([(1, least), (2, least - 1), (3, total - 2 * least + 1)], "key long, n_rows long")
+        assert {r.key for r in heavy_keys(totals, "key", 25).collect()} == {1, 3}
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([(0.95, 95.0), (0.9499, 94.0), (float("nan"), float("nan")), (-1.0, -1.0), (None, None), (100.0, 1.0)], "a double, b double")
     assert [bool(r[0]) for r in df.select(percent_at_least("a", 95)).collect()] == [True, False, False, False, False, True]
