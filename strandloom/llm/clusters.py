@@ -14,7 +14,8 @@
    `min_size` or more is born, goes on, or joins others and ends; its stability is its
    size summed over the similarity it spans. Trees of up to `TREE_EDGES` edges are
    dealt to tasks whole; a longer one goes on in blocks of that many edges, after each
-   of which only the states of its components are left.
+   of which only the states of its components are left. Edges of one distance are one
+   event, in one block or several.
 5. Selection from the top: a cluster stands if it is at least as stable as all below.
 
 No step gathers a component. The rounds are written to the shared folder and so
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -136,13 +138,15 @@ class Hierarchy:
 
     A component is known by a label; its state is [size, cluster (None while small),
     stability so far, worth of the clusters below, distance since which these hold,
-    records while small].
+    records while small]. While more edges of one distance may follow, a label has the
+    states of all that they have joined so far, and ``at`` the distance.
     """
 
     def __init__(self, min_size: int, number: int):
         self.min_size, self.number = min_size, number
         self.up: dict[int, int] = {}
-        self.state: dict[int, list] = {}
+        self.state: dict[int, list[list]] = {}
+        self.at: dict[int, float] = {}
         self.came: list[tuple[int, int, float]] = []  # record, cluster, distance at which it came in
         self.ended: list[tuple[int, int | None, float, float]] = []  # cluster, parent, stability, below; parents last
 
@@ -152,8 +156,8 @@ class Hierarchy:
             up[c] = c = up[p]
         return c
 
-    def add(self, a: list[int], b: list[int], d: list[float]) -> None:
-        """Join the ends of edges; those of one distance are one event."""
+    def add(self, a: list[int], b: list[int], d: list[float], more: float | None = None) -> None:
+        """Join the ends of edges; those of one distance are one event, which is not over if the next edge to be added has that distance (``more``)."""
         i, n = 0, len(d)
         while i < n:
             now, parts = d[i], {}
@@ -168,34 +172,42 @@ class Hierarchy:
                     parts[x] = px
                 i += 1
             for root, old in parts.items():
-                self.merge(root, [self.state.pop(c, None) or [1, None, 0.0, 0.0, now, [c]] for c in old], now)
+                joined = [s for c in old for s in self.parts(c, now)]
+                if i < n or now != more:
+                    self.merge(root, joined, now)
+                else:
+                    small = [s for s in joined if s[1] is None]
+                    both = [sum(s[0] for s in small), None, 0.0, 0.0, now, [i for s in small for i in s[5]]]
+                    self.state[root] = [s for s in joined if s[1] is not None] + [both] * bool(small)
+                    self.at[root] = now
+
+    def parts(self, c: int, now: float) -> list[list]:
+        """What a component brings to an event: one state, or more if it is in this event already."""
+        at = self.at.pop(c, None)
+        if at is not None and at < now:
+            self.merge(c, self.state.pop(c), at)
+        return self.state.pop(c, None) or [[1, None, 0.0, 0.0, now, [c]]]
 
     def merge(self, root: int, old: list[list], d: float) -> None:
         size, small = sum(s[0] for s in old), [i for s in old for i in s[5]]
-        # A cluster born at this very distance (its block ended between equal ones) is no child: it goes on in what it joins.
-        born = [s for s in old if s[1] is not None and s[4] == d and s[2] == s[3] == 0]
-        kids = [s for s in old if s[1] is not None and not any(s is b for b in born)]
+        kids = [s for s in old if s[1] is not None]
         for s in kids:
             s[2] += s[0] * (d - s[4])
-        if born and not kids:
-            kids = born[:1]
-            born = born[1:]
         if size < self.min_size:
-            self.state[root] = [size, None, 0.0, 0.0, d, small]
+            self.state[root] = [[size, None, 0.0, 0.0, d, small]]
             return
         if len(kids) == 1:
             cluster, stability, below = kids[0][1:4]
         else:
             self.number += 1
-            cluster, stability, below = self.number, 0.0, sum(max(s[2], s[3]) for s in kids)
+            cluster, stability, below = self.number, 0.0, fsum(max(s[2], s[3]) for s in kids)  # in any order
             self.ended.extend((s[1], cluster, s[2], s[3]) for s in kids)
-        self.ended.extend((s[1], cluster, -1.0, 0.0) for s in born)
         self.came.extend((i, cluster, d) for i in small)
-        self.state[root] = [size, cluster, stability, below, d, []]
+        self.state[root] = [[size, cluster, stability, below, d, []]]
 
     def close(self) -> dict[int, int | None]:
         """End what is open at distance 1; the topmost winner among every cluster and those above it."""
-        for size, cluster, stability, below, since, _ in self.state.values():
+        for ((size, cluster, stability, below, since, _),) in self.state.values():
             if cluster is not None:
                 self.ended.append((cluster, None, stability + size * (1.0 - since), below))
         top: dict[int, int | None] = {}
@@ -204,20 +216,20 @@ class Hierarchy:
         return top
 
 
-_PARTS = "kind int, tree long, a long, b long, size long, v double, w double, since double, small array<long>"
+_PARTS = "kind int, tree long, a long, b long, size long, v double, w double, since double, small array<long>, at double"
 _MEMBER, _CLUSTER, _STATE, _MAP = range(4)
 
 
 def _rows(h: Hierarchy, tree: int, whole: bool) -> pd.DataFrame:
     """What a task hands on, rows of ``_PARTS``: member (record, cluster, selected, joined), cluster (cluster, parent, stability, below), and, of a tree that goes on, states and labels."""
     top = h.close() if whole else {}
-    out = [(_MEMBER, tree, i, c, top.get(c), d, None, None, None) for i, c, d in h.came]
-    out += [(_CLUSTER, tree, c, p, top.get(c), s, w, None, None) for c, p, s, w in h.ended]
+    out = [(_MEMBER, tree, i, c, top.get(c), d, None, None, None, None) for i, c, d in h.came]
+    out += [(_CLUSTER, tree, c, p, top.get(c), s, w, None, None, None) for c, p, s, w in h.ended]
     if not whole:
-        out += [(_STATE, tree, label, c, n, s, w, d, small) for label, (n, c, s, w, d, small) in h.state.items()]
-        out += [(_MAP, tree, c, h.find(c), None, None, None, None, None) for c in list(h.up)]
+        out += [(_STATE, tree, label, c, n, s, w, d, small, h.at.get(label)) for label, parts in h.state.items() for n, c, s, w, d, small in parts]
+        out += [(_MAP, tree, c, h.find(c), None, None, None, None, None, None) for c in list(h.up)]
     df = pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
-    return df.astype({"a": "Int64", "b": "Int64", "size": "Int64", "v": "float64", "w": "float64", "since": "float64"})
+    return df.astype({"a": "Int64", "b": "Int64", "size": "Int64", "v": "float64", "w": "float64", "since": "float64", "at": "float64"})
 
 
 def condensed(tree: DataFrame, min_size: int, space: Workspace, task_edges: int = TREE_EDGES) -> tuple[DataFrame, DataFrame]:
@@ -252,17 +264,21 @@ def _long_trees(tree: DataFrame, min_size: int, space: Workspace, task_edges: in
     names = [c.split()[0] for c in _PARTS.split(", ")]
     number = ranked(tree.select("tree").distinct(), [], [F.col("tree")], space).select("tree", (F.col("__pos") + first_number).alias("number"))
     rest = ranked(tree, ["tree"], [F.col("d"), F.col("x"), F.col("y")], space).withColumn("block", F.floor(F.col("__pos") / task_edges)).join(number, "tree")
-    rest = space.save(rest.select("tree", "number", "block", F.col("x").alias("a"), F.col("y").alias("b"), "d", "x", "y"))
+    after = rest.groupBy("tree", (F.col("block") - 1).alias("block")).agg(F.min("d").alias("more"))
+    rest = space.save(rest.join(after, ["tree", "block"], "left").select("tree", "number", "block", F.col("x").alias("a"), F.col("y").alias("b"), "d", "x", "y", "more"))
     states = tree.sparkSession.createDataFrame([], _PARTS)
 
     def step(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(e):
             return pd.DataFrame(columns=names)
-        h = Hierarchy(min_size, (int(e["number"].iloc[0]) << 32) + int(e["block"].iloc[0]) * (task_edges + 1))
-        for label, c, n, v, w, since, small in zip(s["a"], s["b"], s["size"], s["v"], s["w"], s["since"], s["small"]):
-            h.state[int(label)] = [int(n), None if pd.isna(c) else int(c), v, w, since, [int(i) for i in small]]
+        # an edge ends up to two events of the block before besides its own
+        h = Hierarchy(min_size, (int(e["number"].iloc[0]) << 32) + int(e["block"].iloc[0]) * 3 * (task_edges + 1))
+        for label, c, n, v, w, since, small, at in zip(s["a"], s["b"], s["size"], s["v"], s["w"], s["since"], s["small"], s["at"]):
+            h.state.setdefault(int(label), []).append([int(n), None if pd.isna(c) else int(c), v, w, since, [int(i) for i in small]])
+            if not pd.isna(at):
+                h.at[int(label)] = at
         e = e.sort_values(["d", "x", "y"], kind="stable")
-        h.add(e["a"].tolist(), e["b"].tolist(), e["d"].tolist())
+        h.add(e["a"].tolist(), e["b"].tolist(), e["d"].tolist(), e["more"].iloc[0])
         return _rows(h, int(key[0]), False)
 
     done, block = [], 0
@@ -303,74 +319,86 @@ def density_clusters(pairs: DataFrame, a: str, b: str, *, min_size: int = 3, min
     return nodes, edges, tree, *condensed(tree, min_size, space, task_edges)
 
 
-#: Edge ends within a group beyond which one that is too sparse to be a group is left to the clusters below it.
-MANY_LINKS = 1_000_000
+#: Outsiders similar to more than one in so many members are in the region of a group.
+NEAR = 4
 
 
-def _moved(links: pd.DataFrame) -> pd.DataFrame:
-    """One group after single moves within its region, rows ``(cluster, id, inside, other)``; other is null once per record. An odd cluster takes in before it gives out."""
-    grow = bool(links["cluster"].iloc[0] % 2)
-    alone = links[links["other"].isna()]
-    ids, inside = alone["id"].to_numpy(), alone["inside"].to_numpy().astype(bool)
-    order = np.argsort(ids)
-    ids, inside = ids[order], inside[order]
-    pairs = links[links["other"].notna()]
-    a, b = np.searchsorted(ids, pairs["id"].to_numpy()), np.searchsorted(ids, pairs["other"].to_numpy().astype("int64"))
-    by = np.argsort(a, kind="stable")
-    near = np.split(b[by], np.searchsorted(a[by], np.arange(1, len(ids))))
-    similar, n = np.bincount(a[inside[b]], minlength=len(ids)), int(inside.sum())
-    while n:
-        fails = inside & (2 * similar <= n - 1)
-        enters = ~inside & (2 * similar > n)
-        if fails.any() and not (grow and enters.any()):
-            v = int(np.where(fails, similar, len(ids)).argmin())
-        elif enters.any():
-            v = int(np.where(enters, similar, -1).argmax())
-        else:
-            break
-        step = -1 if inside[v] else 1
-        inside[v] = step > 0
-        similar[near[v]] += step
-        n += step
-    return pd.DataFrame({"id": ids[inside], "cluster": np.full(n, links["cluster"].iloc[0])})
+def _moved(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups after single moves within their regions, rows ``(id, cluster)``; an odd cluster takes in before it gives out.
 
-
-def _once(groups: DataFrame, min_size: int) -> DataFrame:
-    """The groups of ``min_size`` or more, equal ones of one parity once, with their size."""
-    marks = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")).filter(F.col("size") >= min_size)
+    The links ``(cluster, id, inside, other)`` of the regions come in order of cluster
+    and id, with every record as an ``other`` of its own. Only one region is held.
+    """
+    held: list[list[np.ndarray]] = []
+
+    def region(cluster: int) -> pd.DataFrame:
+        ids, inside, other = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids, inside, other = ids[first], inside[first], np.searchsorted(ids[first], other)
+        similar = np.add.reduceat(inside[other].astype("int64"), first) - inside
+        near, n, grow = np.split(other, first[1:]), int(inside.sum()), bool(cluster % 2)
+        unseen = n // NEAR  # similar members that an outsider beyond the region may have
+        while n:
+            worst, best = int(np.where(inside, similar, len(ids)).argmin()), int(np.where(inside, -1, similar).argmax())
+            most = -1 if inside[best] else int(similar[best])
+            fails, enters = 2 * similar[worst] <= n - 1, 2 * most > n
+            if (grow or not fails) and 2 * unseen > n and most <= unseen or not fails and not enters:
+                break
+            v, step = (worst, -1) if fails and not (grow and enters) else (best, 1)
+            inside[v] = step > 0
+            similar[near[v]] += step
+            similar[v] -= step
+            n += step
+            unseen += step > 0
+        return pd.DataFrame({"id": ids[inside], "cluster": np.full(n, cluster)})
+
+    now = None
+    for e in it:
+        c, out = e["cluster"].to_numpy(), []
+        for rows in np.split(np.arange(len(c)), np.flatnonzero(c[1:] != c[:-1]) + 1) if len(c) else []:
+            if held and c[rows[0]] != now:
+                out.append(region(now))
+            now = int(c[rows[0]])
+            held.append([e[x].to_numpy()[rows] for x in ("id", "inside", "other")])
+        if out:
+            yield pd.concat(out)
+    if held:
+        yield region(now)
+
+
+def _once(groups: DataFrame) -> DataFrame:
+    """The groups, equal ones of one parity once, with their size."""
+    marks = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
     return groups.join(marks.groupBy("size", "least", "h1", "h2", F.pmod("cluster", F.lit(2))).agg(F.min("cluster").alias("cluster")).select("cluster", "size"), "cluster").select("id", "cluster", "size")
 
 
 def _settled(groups: DataFrame, around: DataFrame, min_size: int, space: Workspace) -> DataFrame:
-    """``(id, cluster, similar, size)`` of the groups that the given ones ``(id, cluster)`` settle on.
-
-    A group moves by one record at a time, the worst member out and the best outsider
-    in; each start runs with either first. Edges less half of all pairs never fall by
-    such a move, and where they stay the group gets smaller, so every group settles
-    and no cap is needed.
-    A round moves each group as far as its members and the outsiders that could enter
-    at once let it, and then checks it against the whole graph. A start of more than
-    ``MANY_LINKS`` edge ends that holds half of its pairs or fewer is not followed.
+    """``(id, cluster, similar, size)`` of the groups of ``min_size`` or more that the given ones ``(id, cluster)`` settle on.
+
+    Each start goes the way of ``_settle``, with either kind of move first. Edges less
+    half of all pairs never fall by such a move, and where they stay the group gets
+    smaller, so every group settles and no cap is needed.
+    A round moves each group as far as its region tells the next move: its members and
+    the outsiders similar to more than one in ``NEAR`` of them. It is then checked
+    against the whole graph, and goes on in the next round where it was left.
     """
     done = []
     both = groups.select("id", F.explode(F.array(F.col("cluster") * 2, F.col("cluster") * 2 + 1)).alias("cluster"))
-    open_ = space.save(_once(both, min_size))
+    open_ = space.save(_once(both))
     while not open_.isEmpty():
         sizes = open_.groupBy("cluster").agg(F.max("size").alias("size"))
         seen = around.join(open_.select("id", "cluster"), "id").groupBy(F.col("other").alias("id"), "cluster").agg(F.count(F.lit(1)).alias("similar"))
         judged = seen.join(open_.select("id", "cluster", F.lit(True).alias("inside")), ["id", "cluster"], "full").join(sizes, "cluster").withColumn("inside", F.coalesce("inside", F.lit(False))).withColumn("similar", F.coalesce("similar", F.lit(0)))
-        judged = judged.withColumn("stays", F.col("similar") * 2 > F.when(F.col("inside"), F.col("size") - 1).otherwise(F.col("size")))
-        judged = judged.filter("stays OR inside")
-        moves = F.bool_or(F.col("stays") != F.col("inside")).over(Window.partitionBy("cluster"))
-        held = F.sum(F.when(F.col("inside"), F.col("similar"))).over(Window.partitionBy("cluster"))
-        judged = judged.withColumn("moves", moves).withColumn("held", held)
-        judged = space.save(judged.filter(~F.col("moves") | (F.col("held") <= MANY_LINKS) | (F.col("held") * 2 > F.col("size") * (F.col("size") - 1))).drop("held"))
-        done.append(judged.filter("NOT moves").select("id", "cluster", "similar", "size"))
+        judged = judged.filter(F.col("inside") | (F.col("similar") * NEAR > F.col("size")))
+        stays = F.col("similar") * 2 > F.when(F.col("inside"), F.col("size") - 1).otherwise(F.col("size"))
+        judged = space.save(judged.withColumn("moves", F.bool_or(stays != F.col("inside")).over(Window.partitionBy("cluster"))))
+        done.append(judged.filter(~F.col("moves") & F.col("inside") & (F.col("size") >= min_size)).select("id", "cluster", "similar", "size"))
         region = judged.filter("moves").select("cluster", "id", "inside")
         links = region.join(around, "id").join(region.select("cluster", F.col("id").alias("other")), ["cluster", "other"]).select("cluster", "id", "inside", "other")
-        links = links.unionByName(region.withColumn("other", F.lit(None).cast("long")))
-        moved = space.save(links.groupBy("cluster").applyInPandas(_moved, "id long, cluster long"))
-        open_ = space.save(_once(moved, min_size))
+        links = links.unionByName(region.withColumn("other", F.col("id"))).repartition("cluster").sortWithinPartitions("cluster", "id")
+        moved = space.save(links.mapInPandas(_moved, "id long, cluster long"))
+        open_ = space.save(_once(moved))
     empty = around.sparkSession.createDataFrame([], "id long, cluster long, similar long, size long")
     return space.save(reduce(DataFrame.unionByName, done, empty))
 
@@ -434,7 +462,7 @@ def majority_groups(members: DataFrame, edges: DataFrame, tree: DataFrame, *, mi
     neighbour's, and what comes of it competes too. Gives ``(id, cluster, similar)``.
 
     Components of up to ``task_edges`` edges are dealt to tasks whole; in larger ones
-    the groups are settled as rows, side by side, by the same rules.
+    the groups are settled as rows, side by side, by the same moves, so they are the same.
     """
     space = Workspace(members.sparkSession, "majority")
     place = tree.select("tree", F.explode(F.array("x", "y")).alias("id")).distinct()
@@ -509,12 +537,14 @@ def _starts(fresh: DataFrame, edges: DataFrame, around: DataFrame, part: int, sp
 
 def _standing(done: DataFrame, space: Workspace) -> DataFrame:
     """Competition: the groups that are first choice of all their members stand; what they take is struck."""
+    key = done.groupBy("cluster").agg((-F.count(F.lit(1))).alias("n"), F.min("id").alias("least"), F.array_sort(F.collect_list("id")).alias("ids"))
+    # groups of one size and least member in order of their members; equal ones by number, so that one of them stands
+    key = key.withColumn("tie", F.row_number().over(Window.partitionBy("n", "least").orderBy("ids", "cluster")))
+    done = space.save(done.join(key.select("cluster", F.struct("n", "least", "tie").alias("rank")), "cluster"))
     stand = None
     while True:
-        key = done.groupBy("cluster").agg((-F.count(F.lit(1))).alias("n"), F.min("id").alias("least"))
-        ranked = done.join(key, "cluster").withColumn("rank", F.struct("n", "least", "cluster"))
-        first = ranked.groupBy("id").agg(F.min("rank").alias("first"))
-        lost = ranked.join(first, "id").filter("rank <> first").select("cluster").distinct()
+        first = done.groupBy("id").agg(F.min("rank").alias("first"))
+        lost = done.join(first, "id").filter("rank <> first").select("cluster").distinct()
         won = space.save(done.join(lost, "cluster", "left_anti"))
         stand = won if stand is None else space.save(stand.unionByName(won))
         rest = done.join(won.select("cluster").distinct(), "cluster", "left_anti")

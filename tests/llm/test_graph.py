@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.clusters import condensed, density_clusters, majority_groups, spanning_forest
+from strandloom.llm.clusters import _settled, condensed, density_clusters, majority_groups, spanning_forest
 from strandloom.llm.components import hash_to_min
 from strandloom.runtime import Workspace
 
@@ -197,3 +197,39 @@ def test_groups_below_a_selected_parent(spark, hierarchy):
     adj = neighbours(pairs)
     groups = {frozenset(b) for b in blocks if is_group(b, adj)}
     assert len(groups) == 4 and found(spark, pairs, hierarchy) == groups
+
+
+def test_groups_do_not_depend_on_the_size_of_the_component(spark):
+    # groups that move many times, in tasks and as rows
+    pairs = []
+    for seed in (4, 8, 29, 39):
+        rnd = random.Random(seed)
+        blocks, size = rnd.randint(2, 4), rnd.randint(5, 12)
+        pairs += planted(seed, blocks, size, 0.7, 0.2)[0] if seed % 2 else [(f"r{seed}_{i:02}", f"r{seed}_{j:02}") for i in range(16) for j in range(i) if rnd.random() < 0.4]
+    for hierarchy in (True, False):
+        assert found(spark, pairs, hierarchy) == found(spark, pairs, hierarchy, few=0, task_edges=25)
+
+
+def test_sparse_start_of_many_links(spark):
+    # one start of 1,500 records with over a million edge ends that are less than half of all pairs: the clique in it stays
+    n, clique = 1500, 900
+    pairs = spark.range(n).toDF("id").crossJoin(spark.range(n).toDF("other")).filter("id <> other")
+    noise = F.pmod(F.xxhash64(F.least("id", "other"), F.greatest("id", "other")), F.lit(100)) < 17
+    space = Workspace(spark, "t")
+    around = space.save(pairs.filter((F.greatest("id", "other") < clique) | noise))
+    assert 1_000_000 < around.count() < n * (n - 1) / 2
+    got = _settled(spark.range(n).withColumn("cluster", F.lit(1).cast("long")), around, 3, space).groupBy("cluster").agg(F.collect_set("id").alias("ids")).collect()
+    assert {frozenset(r.ids) for r in got} == {frozenset(range(clique))}
+
+
+def test_hierarchy_in_blocks_that_end_between_equal_distances(spark):
+    rnd, rows = random.Random(5), []
+    for t in range(0, 6000, 100):
+        ties = rnd.choice([[0.1, 0.3, 0.5, 0.8], [0.2, 0.6]])
+        rows += [(t, t + i, t + rnd.randrange(max(0, i - rnd.choice([3, 100])), i), rnd.choice(ties)) for i in range(1, rnd.randint(20, 60))]
+    tree = spark.createDataFrame(rows, "tree long, x long, y long, d double")
+    out = []
+    for task_edges in (1000, 9):
+        m = condensed(tree, 3, Workspace(spark, "t"), task_edges)[0].toPandas()
+        out.append({frozenset(g.id) for _, g in m[m.selected.notna()].groupby("selected")})
+    assert out[0] == out[1] and len(out[0]) > 60
